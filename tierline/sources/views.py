@@ -77,7 +77,11 @@ from {lineitem} group by l_orderkey""",
 select l_orderkey as pol_num, l_linenumber as cvg_num, l_partkey as plan_code, l_suppkey as wa_code,
        cast(l_shipdate as date) as cvg_eff_dt, l_extendedprice as cvg_prem, l_quantity as prem_dur,
        case when l_returnflag = 'R' then 'R' else 'B' end as cvg_typ, l_linestatus as cvg_stat_cd,
-       l_extendedprice * 10 as face_amt, l_tax as nbv_margin
+       l_extendedprice * 10 as face_amt, l_tax as nbv_margin,
+       case when l_linenumber = 3 then cast(l_shipdate as date) + 200 end as cvg_del_dt,
+       case when l_linenumber <> 1 then l_partkey end as insrd_num,
+       case l_linenumber when 1 then '01' when 2 then '02' when 3 then '03' when 4 then '04'
+            when 5 then '05' when 6 then '51' else '10' end as rel_to_insrd
 from {lineitem}""",
     "insured": """
 select l_orderkey as pol_num, l_linenumber as cvg_num, o_custkey as po_num,
