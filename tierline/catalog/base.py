@@ -92,7 +92,10 @@ def all_sql() -> dict[str, str]:
 
 
 def money(expr: str, scale: int = 2) -> str:
-    return f"cast(sum(cast({expr} as decimal(18,{scale}))) as double)"
+    """Sum in fixed point. Beyond cents the value goes through text, so that halves round up as in
+    Spark whatever the binary digits."""
+    value = f"cast({expr} as varchar)" if scale > 2 else expr
+    return f"cast(sum(cast({value} as decimal(18,{scale}))) as double)"
 
 
 def money0(expr: str, scale: int = 2) -> str:

@@ -120,6 +120,9 @@ from {customer} where c_custkey % 5 <> 0""",
 select 'U' as rate_typ, '78' as ccy, effective_date as fr_eff_dt,
        23000 + 5 * (year(effective_date) - 1995) + month(effective_date) as xchng_rate
 from (select distinct cast(date_trunc('month', o_orderdate) as date) as effective_date from {orders}) m""",
+    "account": """
+select user_id as cli_num, user_id as login_id, cast(min(ts) as date) as activation_date
+from {events} group by user_id, event_type""",
     "hit": """
 select event_id, user_id as login_id, ts as date_time, event_type, value, cast(event_id % 10 as varchar(2)) as hit_source
 from {events}""",
