@@ -636,7 +636,7 @@ def _(t):
         {average("case when sex_code = 'F' then mthly_incm end")} as mean_income_women from client group by customer_segment""",
 )
 def _(t):
-    woman = c("sex_code") == "F"
+    woman = "sex_code = 'F'"
     spec = [
         ("customers", "count", "cli_num", None, 0),
         ("mean_income", "mean", "mthly_incm", None, 2),

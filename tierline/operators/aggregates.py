@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tierline.functions.bands import first_match
 from tierline.functions.money import mean, total_or_zero
 from tierline.operators.ordered import Order, percentiles
 from tierline.operators.ranking import top_k_per_key
@@ -124,13 +125,13 @@ def quantile_cutoffs(df: DataFrame, cols: Sequence[str], shares: Mapping[str, fl
     return out
 
 
-# A profile measure: (output name, function, column, condition or None, decimals).
-Measure = tuple[str, str, str, Column | None, int]
+# A profile measure: (output name, function, column, condition text or None, decimals).
+Measure = tuple[str, str, str, str | None, int]
 
 
 def _measure(spec: Measure) -> Column:
     name, fn, col, cond, scale = spec
-    value = F.col(col) if cond is None else F.when(cond, F.col(col))
+    value = F.col(col) if cond is None else F.when(F.expr(cond), F.col(col))
     built = {
         "count": lambda: F.count(value),
         "sum": lambda: total_or_zero(value, scale),
@@ -159,6 +160,26 @@ def crosstab_counts(df: DataFrame, dims: Sequence[str], name: str = "n", item: s
     return df.select(*dims, item).distinct().groupBy(*dims).agg(F.count(item).alias(name))
 
 
+def assign_segment(
+    df: DataFrame, cols: Sequence[str], shares: Sequence[float], names: Sequence[str], segment: str = "segment"
+) -> DataFrame:
+    """Segment by quantile cut-offs: the first share any of the columns reaches, else the last name.
+
+    `shares` run from the highest down; `names` has one more entry.
+    """
+    labels = [f"q{i}" for i in range(len(shares))]
+    cuts = quantile_cutoffs(df, cols, dict(zip(labels, shares)))
+    rules = []
+    for label, name in zip(labels, names):
+        reached = None
+        for col in cols:
+            cut = cuts.filter(F.col("measure") == col).select(label).scalar()
+            test = F.col(col) >= cut
+            reached = test if reached is None else reached | test
+        rules.append((reached, name))
+    return df.withColumn(segment, first_match(rules, names[-1]))
+
+
 def value_counts(df: DataFrame, col: str) -> DataFrame:
     return df.groupBy(col).agg(F.count("*").alias("n")).orderBy(F.col(col).asc_nulls_last())
 

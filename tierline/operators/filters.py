@@ -47,9 +47,12 @@ def filter_window_pair(df: DataFrame, first: str, last: str, cutoff: Column) ->
 
 
 def waterfall(
-    df: DataFrame, steps: Sequence[tuple[str, Column]], key: str | None = None
+    df: DataFrame,
+    steps: Sequence[tuple[str, Column]],
+    key: str | None = None,
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """Rows (or distinct keys) left and removed after each condition, applied in order.
+    """Rows (or distinct keys) left and removed after each condition, applied in order, per group.
 
     One pass: each row gets the number of conditions it passes in a row; per key the deepest row
     counts. The rest is a sum per step, so no row is repeated per step.
@@ -57,10 +60,10 @@ def waterfall(
     depth = F.lit(len(steps))
     for i in range(len(steps) - 1, -1, -1):
         depth = F.when(steps[i][1], depth).otherwise(F.lit(i))
-    rows = df.select(depth.alias("_depth"), *([key] if key else []))
+    rows = df.select(depth.alias("_depth"), *by, *([key] if key else []))
     if key:
-        rows = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max("_depth").alias("_depth"))
-    sums = rows.agg(
+        rows = rows.filter(F.col(key).isNotNull()).groupBy(*by, key).agg(F.max("_depth").alias("_depth"))
+    sums = rows.groupBy(*by).agg(
         *[
             F.sum((F.col("_depth") >= i).cast("long")).alias(f"_at_{i}")
             for i in range(len(steps) + 1)
@@ -78,4 +81,4 @@ def waterfall(
             for i, (name, _) in enumerate(steps)
         ]
     )
-    return sums.select(F.inline(report))
+    return sums.select(*by, F.inline(report))
