@@ -71,9 +71,9 @@ def full_sql(name: str) -> str:
 
 
 def _load() -> None:
-    from tierline.catalog import cluster_checks, customer_checks, income_checks, operator_checks, sales_checks
+    from tierline.catalog import activation_checks, cluster_checks, customer_checks, income_checks, operator_checks, sales_checks
 
-    _ = (cluster_checks, customer_checks, income_checks, operator_checks, sales_checks)
+    _ = (activation_checks, cluster_checks, customer_checks, income_checks, operator_checks, sales_checks)
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -1 +1,38 @@
-"""Checks."""
+"""Cluster queries. Centres depend on the algorithm's random start, so these have no SQL twin; the
+tests check order, sizes and repeatability."""
+
+from __future__ import annotations
+
+from tierline.catalog.base import query
+from tierline.catalog.customer_checks import client_level
+from tierline.plans import cluster as C
+from tierline.sources.sink import fresh_path, stage
+
+
+def level(t):
+    return stage(client_level(t), "client_level")
+
+
+@query("cluster_elbow")
+def _(t):
+    return C.cluster_elbow(level(t))
+
+
+@query("customer_clusters")
+def _(t):
+    people = level(t)
+    return C.customer_clusters(people, *C.fit_clusters(people))
+
+
+@query("cluster_profiles")
+def _(t):
+    people = level(t)
+    return C.cluster_profiles(people, C.customer_clusters(people, *C.fit_clusters(people)))
+
+
+@query("save_load_model")
+def _(t):
+    people = level(t)
+    path = fresh_path(t.spark, "model")
+    C.save_model(*C.fit_clusters(people), path)
+    return C.customer_clusters(people, *C.load_model(t.spark, path))

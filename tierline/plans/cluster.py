@@ -1,12 +1,108 @@
-"""Customer clusters."""
+"""Customer clusters: impute, scale, weight, choose the number, fit on a sample, score everyone."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.ml import PipelineModel
+from pyspark.ml.clustering import KMeans, KMeansModel
+from pyspark.ml.feature import ElementwiseProduct, Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.linalg import Vectors
+from pyspark.ml.pipeline import Pipeline
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tierline.operators import aggregates as agg
+from tierline.sources.sink import stage
+
+c = F.col
+
+# Columns whose gaps mean "none": filled with a value outside the range. They enter unscaled.
+SPARSE = ["agt_tenure_yrs", "min_score", "early_lapse_decile", "yr_2nd_prod"]
+SPARSE_FILL = 99.0
+# Codes and flags: gaps become 0, unscaled.
+CODES = ["f_same_agent", "f_cash", "f_cheque", "f_auto", "mdrt_flag", "mdrt_tot_flag", "mdrt_cot_flag", "multi_prod", "f_male", "cur_age", "move_reg"]
+# Measures: gaps become the mean, then standardised.
+MEASURES = [
+    "cli_ltv", "cli_ltv_pre", "cli_ltv_post", "client_tenure", "pol_count", "ins_typ_count", "inforce_pol",
+    "lapse_pol", "surr_pol", "mature_pol", "nottaken_pol", "ter_pol", "paid_pol", "mthly_incm", "coverage_ape",
+]
+WEIGHTS = {"cli_ltv": 10.0}
+
 
 def sample_rows(df: DataFrame, key: str, share: float, seed: int) -> DataFrame:
     """A share of the rows chosen by a hash of the key: the same rows on any partitioning."""
     buckets = 1 << 20
     return df.filter(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(buckets)) < int(share * buckets))
+
+
+def cluster_inputs(level: DataFrame, key: str = "po_num") -> DataFrame:
+    sparse = [F.coalesce(c(n).cast("double"), F.lit(SPARSE_FILL)).alias(n) for n in SPARSE]
+    codes = [F.coalesce(c(n).cast("double"), F.lit(0.0)).alias(n) for n in CODES]
+    return level.select(key, *sparse, *codes, *[c(n).cast("double").alias(n) for n in MEASURES])
+
+
+def preparation(measures: Sequence[str] = MEASURES) -> Pipeline:
+    """Imputation, scaling and weighting. The same weights apply when fitting and when scoring."""
+    weights = Vectors.dense([WEIGHTS.get(n, 1.0) for n in measures])
+    return Pipeline(
+        stages=[
+            Imputer(strategy="mean", inputCols=list(measures), outputCols=[f"{n}_i" for n in measures]),
+            VectorAssembler(inputCols=[f"{n}_i" for n in measures], outputCol="measures"),
+            StandardScaler(withMean=True, withStd=True, inputCol="measures", outputCol="scaled"),
+            ElementwiseProduct(scalingVec=weights, inputCol="scaled", outputCol="weighted"),
+            VectorAssembler(inputCols=["weighted", *SPARSE, *CODES], outputCol="features"),
+        ]
+    )
+
+
+def prepare_sample(level: DataFrame, share: float, seed: int) -> tuple[PipelineModel, DataFrame]:
+    """Fitted preparation, and the prepared sample written out: every pass of the fit reads it."""
+    sample = stage(cluster_inputs(sample_rows(level, "po_num", share, seed)), "sample")
+    model = preparation().fit(sample)
+    return model, stage(model.transform(sample).select("po_num", "features"), "prepared")
+
+
+def cluster_elbow(level: DataFrame, share: float = 0.3, seed: int = 123, largest: int = 9) -> DataFrame:
+    """Within-cluster sum of squares for one to `largest` clusters.
+
+    One cluster is the spread around the mean; each further number is a fit of its own.
+    """
+    _, ready = prepare_sample(level, share, seed)
+    spread = ready.select(Summarizer.metrics("variance", "count").summary(c("features")).alias("s")).first()["s"]
+    costs = [(1, float(sum(spread["variance"]) * (spread["count"] - 1)))]
+    for k in range(2, largest + 1):
+        fitted = KMeans(k=k, seed=seed, featuresCol="features").fit(ready)
+        costs.append((k, float(fitted.summary.trainingCost)))
+    return level.sparkSession.createDataFrame(costs, "k int, inertia double")
+
+
+def fit_clusters(level: DataFrame, k: int = 5, share: float = 0.3, seed: int = 123) -> tuple[PipelineModel, KMeansModel]:
+    prep, ready = prepare_sample(level, share, seed)
+    return prep, KMeans(k=k, seed=seed, featuresCol="features", predictionCol="clusters").fit(ready)
+
+
+def customer_clusters(level: DataFrame, prep: PipelineModel, model: KMeansModel) -> DataFrame:
+    """Every customer's cluster. One transform over all segments at once."""
+    return model.transform(prep.transform(cluster_inputs(level))).select("po_num", "clusters")
+
+
+CLUSTER_MEASURES: list[agg.Measure] = [
+    ("customer_count", "count", "po_num", None, 0),
+    *[(f"mean_{n}", "mean", n, None, 4) for n in ("cli_ltv", "cli_ltv_pre", "cli_ltv_post", "pol_count", "client_tenure", "cur_age", "mthly_incm", "coverage_ape", "inforce_pol")],
+]
+
+
+def cluster_profiles(level: DataFrame, clusters: DataFrame) -> DataFrame:
+    return agg.profile(level.join(clusters, "po_num", "left"), ["clusters"], CLUSTER_MEASURES)
+
+
+def save_model(prep: PipelineModel, model: KMeansModel, path: str) -> None:
+    prep.write().overwrite().save(f"{path}/preparation")
+    model.write().overwrite().save(f"{path}/clusters")
+
+
+def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, KMeansModel]:
+    _ = spark  # the readers use the active session
+    return PipelineModel.load(f"{path}/preparation"), KMeansModel.load(f"{path}/clusters")
