@@ -47,7 +47,7 @@ def band_sql(col: str, edges, labels, lowest: bool = True) -> str:
 derived(
     "activation_measures",
     f"""select agt_code, tier, loc_cd, tenure_mth, no_sbw_completed, case when wa_cd_1 is not null then coalesce(1.0e0 - lap_14m_pol / nullif(all_pol_cnt, 0), 1.0e0) end as per_14m,
-        last_12m_prd, last_12m_ape / {APE_UNIT}e0 as last_12m_ape, active_months_12m / 12.0e0 as activeness, total_po as cus_existing,
+        last_12m_prd, last_12m_ape / {APE_UNIT}e0 as last_12m_ape, last_12m_month / 12.0e0 as activeness, total_po as cus_existing,
         last_mth_pol, last_3m_pol, last_6m_pol, last_9m_pol, last_12m_pol, city, coalesce(manager_name_0, manager_name_1, manager_name_2) as first_sm_name
         from agent_base left join agent_kpis on agt_code = wa_cd_1 left join location using (loc_cd)""",
 )

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tierline.catalog.base import (
-    DIGITAL_SNAP,
     SNAP,
     average,
     money,
@@ -27,10 +26,12 @@ from tierline.operators import sets as U
 from tierline.operators import shape as H
 from tierline.sources import scan, sink
 
-SNAP_DAY = F.to_date(F.lit(SNAP))
-DIGITAL_DAY = F.to_date(F.lit(DIGITAL_SNAP))
 c = F.col
 
+
+def snap_day():
+    return F.to_date(F.lit(SNAP))
+
 # ---------------------------------------------------------------- sources and sinks
 
 
@@ -84,7 +85,7 @@ def _(t):
         max(case when fr_eff_dt <= date '{SNAP}' then fr_eff_dt end), max(fr_eff_dt)) from rate)""",
 )
 def _(t):
-    return scan.snapshot_or_latest(t["rate"], "fr_eff_dt", SNAP_DAY).select("ccy", "xchng_rate")
+    return scan.snapshot_or_latest(t["rate"], "fr_eff_dt", snap_day()).select("ccy", "xchng_rate")
 
 
 @query("materialise", f"select pol_stat_cd, {money('tot_ape')} as ape from policy group by pol_stat_cd")
@@ -222,7 +223,7 @@ def _(t):
     f"select pol_num, {offset('pol_eff_dt')} as mth from policy where {offset('pol_eff_dt')} between -12 and -1",
 )
 def _(t):
-    mth = dates.month_offset(c("pol_eff_dt"), SNAP_DAY)
+    mth = dates.month_offset(c("pol_eff_dt"), snap_day())
     return P.filter_between(t["policy"], mth, -12, -1).select("pol_num", mth.alias("mth"))
 
 
@@ -233,7 +234,7 @@ def _(t):
 
 @query("filter_asof", f"select pol_num, cvg_num, cvg_prem from coverage where cvg_eff_dt <= date '{SNAP}'")
 def _(t):
-    return P.filter_asof(t["coverage"], "cvg_eff_dt", SNAP_DAY).select("pol_num", "cvg_num", "cvg_prem")
+    return P.filter_asof(t["coverage"], "cvg_eff_dt", snap_day()).select("pol_num", "cvg_num", "cvg_prem")
 
 
 @query(
@@ -241,7 +242,7 @@ def _(t):
     f"""select pol_num, pol_stat_cd from policy where pol_trmn_dt <= date '{SNAP}' and pol_eff_dt <= date '{SNAP}'""",
 )
 def _(t):
-    return P.filter_window_pair(t["policy"], "pol_eff_dt", "pol_trmn_dt", SNAP_DAY).select("pol_num", "pol_stat_cd")
+    return P.filter_window_pair(t["policy"], "pol_eff_dt", "pol_trmn_dt", snap_day()).select("pol_num", "pol_stat_cd")
 
 
 _STEPS_SQL = [
@@ -250,12 +251,15 @@ _STEPS_SQL = [
     ("big", "tot_ape > 100000"),
     ("open", "pol_trmn_dt is null"),
 ]
-_STEPS = [
-    ("not rejected", ~c("pol_stat_cd").isin("A", "N", "R")),
-    ("yearly", c("pmt_mode") == 12),
-    ("big", c("tot_ape") > 100000),
-    ("open", c("pol_trmn_dt").isNull()),
-]
+
+
+def _steps():
+    return [
+        ("not rejected", ~c("pol_stat_cd").isin("A", "N", "R")),
+        ("yearly", c("pmt_mode") == 12),
+        ("big", c("tot_ape") > 100000),
+        ("open", c("pol_trmn_dt").isNull()),
+    ]
 
 
 def _waterfall_sql(count: str) -> str:
@@ -270,12 +274,12 @@ def _waterfall_sql(count: str) -> str:
 
 @query("waterfall", _waterfall_sql("count(*)"))
 def _(t):
-    return P.waterfall(t["policy"], _STEPS)
+    return P.waterfall(t["policy"], _steps())
 
 
 @query("waterfall_by_key", _waterfall_sql("count(distinct po_num)"))
 def _(t):
-    return P.waterfall(t["policy"], _STEPS, "po_num")
+    return P.waterfall(t["policy"], _steps(), "po_num")
 
 
 # ---------------------------------------------------------------- joins
@@ -465,8 +469,13 @@ def _(t):
     )
 
 
-def _offset_windows(day):
-    return A.trailing_windows(dates.month_offset(c(day), SNAP_DAY), F.year(c(day)), F.year(SNAP_DAY))
+def _offset_windows():
+    return A.trailing_windows("mth_offset", "yr", int(SNAP[:4]))
+
+
+def _with_offset(t):
+    day = c("cvg_eff_dt")
+    return t["coverage"].withColumns({"mth_offset": dates.month_offset(day, snap_day()), "yr": F.year(day)})
 
 
 @query(
@@ -476,7 +485,7 @@ def _offset_windows(day):
     + " from coverage group by wa_code",
 )
 def _(t):
-    return A.trailing_sums(t["coverage"], ["wa_code"], _offset_windows("cvg_eff_dt"), {"ape": (c("cvg_prem"), 2)})
+    return A.trailing_sums(_with_offset(t), ["wa_code"], ["mth_offset", "yr"], _offset_windows(), {"ape": ("cvg_prem", 2)})
 
 
 @query(
@@ -490,12 +499,8 @@ def _(t):
     + f" from coverage where {' or '.join(f'({w})' for w in windows('cvg_eff_dt').values())} group by wa_code",
 )
 def _(t):
-    conds = _offset_windows("cvg_eff_dt")
-    families = {
-        short: (c(col), {f"{n}_{short}": w for n, w in conds.items()})
-        for short, col in (("pol", "pol_num"), ("plan", "plan_code"))
-    }
-    return A.trailing_distinct(t["coverage"], "wa_code", families)
+    families = {"pol_num": {"pol": "true"}, "plan_code": {"plan": "true"}}
+    return A.trailing_distinct(_with_offset(t), "wa_code", _offset_windows(), families)
 
 
 @query(
@@ -741,7 +746,7 @@ def _(t):
         qualify row_number() over (order by fr_eff_dt desc) = 1""",
 )
 def _(t):
-    return R.asof_rate(t["rate"], "U", "78", SNAP_DAY)
+    return R.asof_rate(t["rate"], "U", "78", snap_day())
 
 
 @query("ntile_global", "select pol_num, ntile(10) over (order by tot_ape desc, pol_num) as decile from policy")
@@ -929,7 +934,7 @@ def _(t):
 
 @query("month_offset", f"select pol_num, {offset('pol_eff_dt')} as mth from policy")
 def _(t):
-    return t["policy"].select("pol_num", dates.month_offset(c("pol_eff_dt"), SNAP_DAY).alias("mth"))
+    return t["policy"].select("pol_num", dates.month_offset(c("pol_eff_dt"), snap_day()).alias("mth"))
 
 
 _MB = months_between(f"date '{SNAP}'", "pol_eff_dt")
@@ -941,11 +946,11 @@ _MB = months_between(f"date '{SNAP}'", "pol_eff_dt")
         cast(trunc({_MB} + 1) as int) as ordinal from policy""",
 )
 def _(t):
-    gap = dates.months_apart(SNAP_DAY, c("pol_eff_dt"))
+    gap = dates.months_apart(snap_day(), c("pol_eff_dt"))
     return t["policy"].select(
         "pol_num",
         gap.alias("months"),
-        dates.whole_months(SNAP_DAY, c("pol_eff_dt")).alias("whole"),
+        dates.whole_months(snap_day(), c("pol_eff_dt")).alias("whole"),
         (gap < 3).alias("in_3m"),
         (gap < 12).alias("in_12m"),
         (gap + 1).cast("int").alias("ordinal"),
@@ -961,10 +966,10 @@ def _(t):
     day = c("pol_eff_dt")
     return t["policy"].select(
         "pol_num",
-        F.datediff(SNAP_DAY, day).alias("days"),
-        dates.elapsed(SNAP_DAY, day, 7.0).cast("int").alias("weeks"),
-        dates.elapsed(SNAP_DAY, day, 30.0).alias("months30"),
-        dates.elapsed(SNAP_DAY, day, 365.25).alias("years"),
+        F.datediff(snap_day(), day).alias("days"),
+        dates.elapsed(snap_day(), day, 7.0).cast("int").alias("weeks"),
+        dates.elapsed(snap_day(), day, 30.0).alias("months30"),
+        dates.elapsed(snap_day(), day, 365.25).alias("years"),
     )
 
 
@@ -1075,7 +1080,7 @@ def _(t):
 )
 def _(t):
     both = J.star_join(t["policy"], [(t["lapse"], ["pol_num"]), (t["early_lapse"], ["pol_num"])])
-    return both.select("pol_num", F.coalesce("pol_trmn_dt", SNAP_DAY).alias("end_dt"), F.coalesce("lapse_score", "p_1", F.lit(0.0)).alias("lapse"))
+    return both.select("pol_num", F.coalesce("pol_trmn_dt", snap_day()).alias("end_dt"), F.coalesce("lapse_score", "p_1", F.lit(0.0)).alias("lapse"))
 
 
 @query(

@@ -37,8 +37,10 @@ def map_codes(col: Column, mapping: Mapping[object, object], default: object = N
     return first_match([(col == F.lit(k), v) for k, v in mapping.items()], default)
 
 
-def flag(cond: Column) -> Column:
+def flag(cond: Column | str) -> Column:
     """1 where the condition holds, else 0 (also where it is NULL)."""
+    if isinstance(cond, str):
+        return F.expr(f"case when {cond} then 1 else 0 end")
     return F.when(cond, 1).otherwise(0)
 
 

@@ -14,16 +14,34 @@ def exact(col: Column, scale: int = 2) -> Column:
     return col.cast(f"decimal(18,{scale})")
 
 
-def total(col: Column, scale: int = 2) -> Column:
+def total_text(expr: str, scale: int = 2) -> str:
+    return f"cast(sum(cast({expr} as decimal(18,{scale}))) as double)"
+
+
+def mean_text(expr: str, scale: int = 2) -> str:
+    return f"try_divide({total_text(expr, scale)}, cast(count({expr}) as double))"
+
+
+# The functions below take a column or, where many are built at once, expression text: one text is
+# one call into the JVM instead of one per function.
+
+
+def total(col: Column | str, scale: int = 2) -> Column:
     """Order-independent sum, NULL for no rows."""
+    if isinstance(col, str):
+        return F.expr(total_text(col, scale))
     return F.sum(exact(col, scale)).cast("double")
 
 
-def total_or_zero(col: Column, scale: int = 2) -> Column:
+def total_or_zero(col: Column | str, scale: int = 2) -> Column:
+    if isinstance(col, str):
+        return F.expr(f"coalesce({total_text(col, scale)}, 0.0d)")
     return F.coalesce(total(col, scale), F.lit(0.0))
 
 
-def mean(col: Column, scale: int = 2) -> Column:
+def mean(col: Column | str, scale: int = 2) -> Column:
+    if isinstance(col, str):
+        return F.expr(mean_text(col, scale))
     return F.try_divide(total(col, scale), F.count(col).cast("double"))
 
 

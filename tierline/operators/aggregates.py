@@ -8,71 +8,99 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tierline.functions.bands import first_match
-from tierline.functions.money import mean, total_or_zero
+from tierline.functions.money import mean, mean_text, total_or_zero, total_text
 from tierline.operators.ordered import Order, percentiles
 from tierline.operators.ranking import top_k_per_key
 
 
-def trailing_windows(offset: Column, year: Column, current_year: Column | int) -> dict[str, Column]:
-    """Conditions on a month offset (snapshot month -1): months back, last year, year to date, all."""
-    upto = offset <= -1
+def trailing_windows(offset: str, year: str, current_year: int) -> dict[str, str]:
+    """Conditions on a month offset (snapshot month -1): months back, last year, year to date, all.
+
+    `offset` and `year` are columns or expression text; so are the conditions.
+    """
     return {
-        "last_yr": year == current_year - 1,
-        "last_mth": offset == -1,
-        "last_3m": offset.between(-3, -1),
-        "last_6m": offset.between(-6, -1),
-        "last_9m": offset.between(-9, -1),
-        "last_12m": offset.between(-12, -1),
-        "ytd": (year == current_year) & upto,
-        "total": upto,
+        "last_yr": f"{year} = {current_year - 1}",
+        "last_mth": f"{offset} = -1",
+        "last_3m": f"{offset} between -3 and -1",
+        "last_6m": f"{offset} between -6 and -1",
+        "last_9m": f"{offset} between -9 and -1",
+        "last_12m": f"{offset} between -12 and -1",
+        "ytd": f"{year} = {current_year} and {offset} <= -1",
+        "total": f"{offset} <= -1",
     }
 
 
 def trailing_sums(
     df: DataFrame,
     key: Sequence[str],
-    windows: Mapping[str, Column],
-    values: Mapping[str, tuple[Column, int]],
+    period: Sequence[str],
+    windows: Mapping[str, str],
+    values: Mapping[str, tuple[str, int]],
 ) -> DataFrame:
-    """Sum of each value (with its decimals) over each window, all in one grouping."""
-    aggs = [
-        total_or_zero(F.when(cond, value), scale).alias(f"{window}_{name}")
-        for name, (value, scale) in values.items()
-        for window, cond in windows.items()
-    ]
-    return df.groupBy(*key).agg(*aggs)
+    """Sum of each value (with its decimals) over each window.
+
+    `period` names the columns the windows are stated in. Rows are summed per key and period first:
+    that takes one sum per value instead of one per value and window, shuffles one row per key and
+    month, and splits a hot key over its months.
+    """
+    parts = df.groupBy(*key, *period).agg(
+        *[F.expr(f"sum(cast({value} as decimal(18,{scale})))").alias(f"_{name}") for name, (value, scale) in values.items()]
+    )
+    return parts.groupBy(*key).agg(
+        *[
+            F.expr(f"coalesce(cast(sum(case when {cond} then _{name} end) as double), 0.0d)").alias(f"{window}_{name}")
+            for name in values
+            for window, cond in windows.items()
+        ]
+    )
 
 
 def trailing_distinct(
-    df: DataFrame, key: str, families: Mapping[str, tuple[Column, Mapping[str, Column]]]
+    df: DataFrame,
+    key: str,
+    windows: Mapping[str, str],
+    families: Mapping[str, Mapping[str, str]],
+    single: Mapping[str, Mapping[str, str]] | None = None,
 ) -> DataFrame:
-    """Distinct items per key under many conditions.
+    """Distinct items per key over each window, for several items and conditions.
 
-    `families` maps a name to (item, {output column: condition}). Counting each condition distinctly
-    would repeat every row once per condition. Instead the conditions of a row are set as bits,
-    the bits of equal (key, family, item) are OR-ed - before and after the one shuffle, so a hot
-    key arrives as one row per item and task - and then counted per key with plain sums.
+    `families` maps an item to {name: condition} and gives `<window>_<name>` for every window;
+    `single` adds columns of their own condition. Counting each condition distinctly would repeat
+    every row once per condition. Instead the conditions of a row are set as bits, the bits of equal
+    (key, item) are OR-ed - before and after the one shuffle, so a hot key arrives as one row per
+    item and task - and then counted per key.
     """
-    entries = []
-    for name, (item, conds) in families.items():
-        bits = F.lit(0).cast("long")
-        for i, cond in enumerate(conds.values()):
-            bits = bits.bitwiseOR(F.when(cond, F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
-        entries.append(
-            F.struct(F.lit(name).alias("family"), item.cast("string").alias("item"), bits.alias("bits"))
-        )
-    spread = df.select(key, F.inline(F.array(*entries))).filter(
-        F.col("item").isNotNull() & (F.col("bits") != 0)
+    single = single or {}
+    seen = " | ".join(f"case when {cond} then {1 << i}L else 0L end" for i, cond in enumerate(windows.values()))
+    entries, outputs = [], []
+    for number, (item, groups) in enumerate(families.items()):
+        terms = [
+            f"case when {cond} then shiftleft(_seen, {len(windows) * i}) else 0L end"
+            for i, cond in enumerate(groups.values())
+        ]
+        names = [f"{w}_{name}" for name in groups for w in windows]
+        for name, cond in single.get(item, {}).items():
+            terms.append(f"case when {cond} then {1 << len(names)}L else 0L end")
+            names.append(name)
+        if len(names) > 63:
+            raise ValueError("more conditions on one item than a long has bits")
+        entries.append(f"named_struct('family', {number}, 'item', cast({item} as string), 'bits', {' | '.join(terms)})")
+        outputs += [(number, i, name) for i, name in enumerate(names)]
+    widest = max(i for _, i, _ in outputs) + 1
+    items = (
+        df.withColumn("_seen", F.expr(seen))
+        .selectExpr(key, f"inline(array({', '.join(entries)}))")
+        .filter("item is not null and bits <> 0")
+        .groupBy(key, "family", "item")
+        .agg(F.bit_or("bits").alias("bits"))
+    )
+    # One row per key and family, then the families side by side.
+    counted = items.groupBy(key, "family").agg(
+        *[F.expr(f"sum(shiftright(bits, {i}) & 1L)").alias(f"_{i}") for i in range(widest)]
+    )
+    return counted.groupBy(key).agg(
+        *[F.expr(f"coalesce(max(case when family = {number} then _{i} end), 0L)").alias(out) for number, i, out in outputs]
     )
-    items = spread.groupBy(key, "family", "item").agg(F.bit_or("bits").alias("bits"))
-    aggs = [
-        F.sum(
-            F.when(F.col("family") == name, F.shiftright("bits", i).bitwiseAND(F.lit(1))).otherwise(0)
-        ).alias(out)
-        for name, (_, conds) in families.items()
-        for i, out in enumerate(conds)
-    ]
-    return items.groupBy(key).agg(*aggs)
 
 
 def distinct_by_flag(df: DataFrame, key: str, item: str, flags: Mapping[str, Column]) -> DataFrame:
@@ -131,16 +159,16 @@ Measure = tuple[str, str, str, str | None, int]
 
 def _measure(spec: Measure) -> Column:
     name, fn, col, cond, scale = spec
-    value = F.col(col) if cond is None else F.when(F.expr(cond), F.col(col))
-    built = {
-        "count": lambda: F.count(value),
-        "sum": lambda: total_or_zero(value, scale),
-        "mean": lambda: mean(value, scale),
-        "min": lambda: F.min(value),
-        "max": lambda: F.max(value),
-        "distinct": lambda: F.count_distinct(value),
-    }[fn]()
-    return built.alias(name)
+    value = col if cond is None else f"case when {cond} then {col} end"
+    text = {
+        "count": f"count({value})",
+        "sum": f"coalesce({total_text(value, scale)}, 0.0d)",
+        "mean": mean_text(value, scale),
+        "min": f"min({value})",
+        "max": f"max({value})",
+        "distinct": f"count(distinct {value})",
+    }[fn]
+    return F.expr(text).alias(name)
 
 
 def profile(df: DataFrame, by: Sequence[str], spec: Sequence[Measure]) -> DataFrame:

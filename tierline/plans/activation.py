@@ -41,7 +41,7 @@ def agent_activation(t: Frames, kpis: DataFrame, snapshot: str, ape_unit: float
         "per_14m",
         "last_12m_prd",
         (c("last_12m_ape") / F.lit(ape_unit)).alias("last_12m_ape"),
-        (c("active_months_12m") / F.lit(12.0)).alias("activeness"),
+        (c("last_12m_month") / F.lit(12.0)).alias("activeness"),
         c("total_po").alias("cus_existing"),
         *[f"{w}_pol" for w in POLICY_WINDOWS],
     )

@@ -16,16 +16,13 @@ c = F.col
 # ---------------------------------------------------------------- income
 
 
-def income_windows(issued: Column, snap: Column) -> dict[str, Column]:
-    gap = dates.months_apart(snap, issued)
+def income_windows(issued: str, snapshot: str) -> dict[str, str]:
+    gap = f"months_between(date '{snapshot}', {issued})"
     return {
-        "last_mth": dates.year_month(issued) == dates.year_month(snap),
-        "last_3m": gap < 3,
-        "last_6m": gap < 6,
-        "last_9m": gap < 9,
-        "last_12m": gap < 12,
-        "ly": F.year(issued) == F.year(snap) - 1,
-        "total": F.lit(True),
+        "last_mth": f"date_format({issued}, 'yyyy-MM') = '{snapshot[:7]}'",
+        **{f"last_{m}m": f"{gap} < {m}" for m in (3, 6, 9, 12)},
+        "ly": f"year({issued}) = {int(snapshot[:4]) - 1}",
+        "total": "true",
     }
 
 
@@ -54,13 +51,13 @@ def agent_income(t: Frames, snapshot: str) -> DataFrame:
         )
     )
     kept = t["policy"].filter(~c("pol_stat_cd").isin(DROPPED_FROM_INCOME)).select("pol_num", "pol_eff_dt")
-    windows = income_windows(c("pol_eff_dt"), snap)
+    windows = income_windows("pol_eff_dt", snapshot)
     sums = (
         per_policy.join(kept, "pol_num")
         .groupBy("agt_cd")
         .agg(
             *[
-                F.sum(F.when(cond, c(col)).otherwise(0)).alias(f"{name}_{col}")
+                F.expr(f"sum(case when {cond} then {col} else 0L end)").alias(f"{name}_{col}")
                 for col in ("fyp", "comm")
                 for name, cond in windows.items()
             ]
@@ -304,50 +301,38 @@ def agent_kpis(fact: DataFrame, snapshot: str) -> DataFrame:
     All sums are one grouping by agent; all distinct counts are one grouping by agent and item
     followed by one by agent.
     """
-    snap = day(snapshot)
-    windows = agg.trailing_windows(c("mth_offset"), F.year("cvg_eff_dt"), F.year(snap))
-    good = sold()
-    rider, repeat = good & (c("cvg_typ") == "R"), good & (c("repeated_sales") == 1)
+    rows = fact.withColumn("cvg_eff_yr", F.year("cvg_eff_dt"))
+    windows = agg.trailing_windows("mth_offset", "cvg_eff_yr", int(snapshot[:4]))
+    good = f"pol_stat_cd not in ({', '.join(repr(x) for x in NOT_SOLD)})"
     sums = agg.trailing_sums(
-        fact.filter(good),
+        rows.filter(good),
         ["wa_cd_1"],
+        ["mth_offset", "cvg_eff_yr"],
         windows,
         {
-            "ape": (c("adjust_ape"), 3),
-            "nbv": (c("nbv"), 5),
-            "rid": (F.when(rider, c("adjust_ape")), 3),
-            "rep": (F.when(repeat, c("adjust_ape")), 3),
-            "rep_nbv": (F.when(repeat, c("nbv")), 5),
+            "ape": ("adjust_ape", 3),
+            "nbv": ("nbv", 5),
+            "rid": ("case when cvg_typ = 'R' then adjust_ape end", 3),
+            "rep": ("case when repeated_sales = 1 then adjust_ape end", 3),
+            "rep_nbv": ("case when repeated_sales = 1 then nbv end", 5),
         },
     )
-
-    def every(name: str) -> dict[str, Column]:
-        return {f"{w}_{name}": good & cond for w, cond in windows.items()}
-
-    def short(name: str, cond: Column) -> dict[str, Column]:
-        return {f"{w}_{name}": cond & windows[w] for w in SHORT_WINDOWS}
-
-    ended = F.months_between("pol_trmn_dt", "pol_eff_dt")
-    lapsed = c("lapsed") == 1
     families = {
-        "po": (c("po_num"), every("po")),
-        "cus": (c("cli_num"), every("cus")),
-        "pol": (
-            c("pol_num"),
-            {
-                **every("pol"),
-                "all_pol_cnt": good,
-                **short("nt", c("is_non_taken") == 1),
-                **short("rej", c("rejected") == 1),
-                **short("lap", lapsed),
-                **{f"lap_{m}m_pol": lapsed & (ended <= m) for m in (14, 20, 26)},
-            },
-        ),
-        "prd": (c("type"), every("prd")),
-        "fam": (c("po_ins_rela"), every("fam")),
-        "month": (c("year_month"), {"active_months_12m": good & windows["last_12m"]}),
+        "po_num": {"po": good},
+        "cli_num": {"cus": good},
+        "pol_num": {"pol": good, "nt": "is_non_taken = 1", "rej": "rejected = 1", "lap": "lapsed = 1"},
+        "type": {"prd": good},
+        "po_ins_rela": {"fam": good},
+        "year_month": {"month": good},
+    }
+    ended = "months_between(pol_trmn_dt, pol_eff_dt)"
+    single = {
+        "pol_num": {
+            "all_pol_cnt": good,
+            **{f"lap_{m}m_pol": f"lapsed = 1 and {ended} <= {m}" for m in (14, 20, 26)},
+        }
     }
-    counts = agg.trailing_distinct(fact, "wa_cd_1", families)
+    counts = agg.trailing_distinct(rows, "wa_cd_1", windows, families, single)
     joined = sums.join(counts, "wa_cd_1", "left")
     return joined.na.fill(0, [n for n in counts.columns if n != "wa_cd_1"])
 
@@ -358,24 +343,24 @@ SIZE_WINDOWS = ["last_yr", *SHORT_WINDOWS]
 def agent_ticket_size(kpis: DataFrame) -> DataFrame:
     """Premium per policy and per owner; 1 where there is none."""
     sizes = [
-        money.safe_ratio(c(f"{w}_ape"), c(f"{w}_{item}"), 1).alias(f"{w}_{item}_size")
+        f"coalesce(try_divide(cast({w}_ape as double), cast({w}_{item} as double)), 1.0d) as {w}_{item}_size"
         for item in ("pol", "po")
         for w in SIZE_WINDOWS
     ]
-    return kpis.select("wa_cd_1", *sizes)
+    return kpis.selectExpr("wa_cd_1", *sizes)
 
 
 def agent_persistency(kpis: DataFrame) -> DataFrame:
     """Share of policies not refused, not rejected, not lapsed; 1 where there are no policies."""
 
-    def kept(lost: str, of: str) -> Column:
-        return F.coalesce(F.lit(1.0) - money.safe_ratio(c(lost), c(of)), F.lit(1.0))
+    def kept(lost: str, of: str) -> str:
+        return f"coalesce(1.0d - try_divide(cast({lost} as double), cast({of} as double)), 1.0d)"
 
     rates = [
-        kept(f"{w}_{kind}", f"{w}_pol").alias(f"{w}_{kind}_per") for kind in ("nt", "rej", "lap") for w in SHORT_WINDOWS
+        f"{kept(f'{w}_{kind}', f'{w}_pol')} as {w}_{kind}_per" for kind in ("nt", "rej", "lap") for w in SHORT_WINDOWS
     ]
-    held = [kept(f"lap_{m}m_pol", "all_pol_cnt").alias(f"per_{m}m") for m in (14, 20, 26)]
-    return kpis.select("wa_cd_1", *rates, *held)
+    held = [f"{kept(f'lap_{m}m_pol', 'all_pol_cnt')} as per_{m}m" for m in (14, 20, 26)]
+    return kpis.selectExpr("wa_cd_1", *rates, *held)
 
 
 def agent_sales_trend(fact: DataFrame) -> DataFrame:

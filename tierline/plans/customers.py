@@ -72,6 +72,16 @@ def policy_base(t: Frames, snapshot: str) -> DataFrame:
     dur = c("prem_dur").cast("int")
     types = t["plan"].select("plan_code", "ins_typ_desc", "nbv_margin_a", "nbv_margin_b")
     lasted = dates.elapsed(F.coalesce("pol_trmn_dt", snap), c("pol_eff_dt"), YEAR_DAYS)
+    tests = {
+        **{n: f"pol_stat_cd in ({', '.join(repr(x) for x in codes)})" for n, codes in STATUS_FLAGS.items()},
+        "f_same_agent": "wa_code = sa_code",
+        "f_cheque": "lst_pmt_mthd = 'CHEQUE'",
+        "f_cash": "lst_pmt_mthd = 'CASH'",
+        "f_auto": "lst_pmt_mthd = 'TRANSFER'",
+        "valid_email": "cli_email is not null",
+        "valid_mobile": "cli_mobile is not null",
+    }
+    flags = [bands.flag(test).alias(n) for n, test in tests.items()]
     # Dimension joins follow the fact join; coverages of unknown policies drop out there.
     rows = policies.join(cov, "pol_num", "left").join(types, "plan_code", "left")
     return rows.select(
@@ -81,13 +91,7 @@ def policy_base(t: Frames, snapshot: str) -> DataFrame:
         dur.alias("prem_dur"),
         F.least(years, dur).alias("prem_dur_pre"),
         (dur - F.least(years, dur)).alias("prem_dur_post"),
-        *[bands.flag(c("pol_stat_cd").isin(codes)).alias(n) for n, codes in STATUS_FLAGS.items()],
-        bands.flag(c("wa_code") == c("sa_code")).alias("f_same_agent"),
-        bands.flag(c("lst_pmt_mthd") == "CHEQUE").alias("f_cheque"),
-        bands.flag(c("lst_pmt_mthd") == "CASH").alias("f_cash"),
-        bands.flag(c("lst_pmt_mthd") == "TRANSFER").alias("f_auto"),
-        bands.flag(c("cli_email").isNotNull()).alias("valid_email"),
-        bands.flag(c("cli_mobile").isNotNull()).alias("valid_mobile"),
+        *flags,
         F.floor(lasted).cast("int").alias("inforce_year"),
     )
 
@@ -165,28 +169,25 @@ COUNT_COLUMNS = ["f_cash", "f_cheque", "f_auto"]
 def policy_level(value: DataFrame, products: Mapping[str, str] = PRODUCTS) -> DataFrame:
     """One row per owner and policy. All owner measures follow from this frame: distinct counts of
     policies become sums, and a hot owner arrives as one row per policy."""
-    rider = c("cvg_typ") == "R"
-    four = lambda name: F.sum(money.exact(c(name), 4)).alias(name)
-    return value.groupBy("po_num", "pol_num").agg(
-        F.min("cvg_eff_dt").alias("first_eff"),
-        F.max("channel").alias("channel"),
-        *[F.max(c(n)).alias(n) for n in FLAG_COLUMNS],
-        *[F.sum(c(n)).alias(n) for n in COUNT_COLUMNS],
-        *[F.max(bands.flag(c("ins_typ_desc") == v)).alias(f"has_{n}") for n, v in products.items()],
-        F.collect_set("ins_typ_desc").alias("ins_types"),
-        F.sum(money.exact(c("agt_tenure_yrs"), 4)).alias("tenure_sum"),
-        F.count("agt_tenure_yrs").alias("tenure_n"),
-        F.max("inforce_year").alias("inforce_year"),
-        four("coverage_ape"),
-        four("plan_nbv"),
-        four("coverage_fa"),
-        F.sum(money.exact(F.when(rider, c("coverage_ape")), 4)).alias("rider_ape"),
-        F.count(F.when(rider, c("cvg_num"))).alias("rider_cnt"),
-        F.sum(money.exact(F.when(c("ins_typ_desc").isin(products["term"], products["whole"]), c("coverage_fa")), 4)).alias("protection_fa"),
-        F.min("prem_dur").alias("prem_dur"),
-        F.min("prem_dur_pre").alias("prem_dur_pre"),
-        F.min("prem_dur_post").alias("prem_dur_post"),
-    )
+    four = "sum(cast({} as decimal(18,4)))".format
+    protection = f"case when ins_typ_desc in ({products['term']!r}, {products['whole']!r}) then coverage_fa end"
+    measures = {
+        "first_eff": "min(cvg_eff_dt)",
+        "channel": "max(channel)",
+        **{n: f"max({n})" for n in FLAG_COLUMNS},
+        **{n: f"sum({n})" for n in COUNT_COLUMNS},
+        **{f"has_{n}": f"max(case when ins_typ_desc = {v!r} then 1 else 0 end)" for n, v in products.items()},
+        "ins_types": "collect_set(ins_typ_desc)",
+        "tenure_sum": four("agt_tenure_yrs"),
+        "tenure_n": "count(agt_tenure_yrs)",
+        "inforce_year": "max(inforce_year)",
+        **{n: four(n) for n in ("coverage_ape", "plan_nbv", "coverage_fa")},
+        "rider_ape": four("case when cvg_typ = 'R' then coverage_ape end"),
+        "rider_cnt": "count(case when cvg_typ = 'R' then cvg_num end)",
+        "protection_fa": four(protection),
+        **{n: f"min({n})" for n in ("prem_dur", "prem_dur_pre", "prem_dur_post")},
+    }
+    return value.groupBy("po_num", "pol_num").agg(*[F.expr(text).alias(n) for n, text in measures.items()])
 
 
 def customer_channel(policies: DataFrame) -> DataFrame:
@@ -282,30 +283,27 @@ def decile_table(df: DataFrame, n: int, measure: str, key: str, means: Sequence[
     return ranked.groupBy("decile").agg(F.count(key).alias("n"), *[money.mean(c(m), 4).alias(f"mean_{m}") for m in means])
 
 
-def _owner_sums(rows: DataFrame) -> list[Column]:
-    four = lambda col: F.sum(money.exact(c(col), 4)).cast("double")
-    return [
-        F.sum("coverage_ape").cast("double").alias("coverage_ape"),
-        F.sum("plan_nbv").cast("double").alias("plan_nbv"),
-        F.coalesce(F.sum("rider_ape").cast("double"), F.lit(0.0)).alias("rider_ape"),
-        F.sum("rider_cnt").alias("rider_cnt"),
-        F.min("prem_dur").alias("min_prem_dur"),
-        four("pol_ltv").alias("cli_ltv"),
-        four("pol_ltv_pre").alias("cli_ltv_pre"),
-        four("pol_ltv_post").alias("cli_ltv_post"),
-        four("mod_pol_ltv").alias("cli_ltv_mod"),
-        four("mod_pol_ltv_pre").alias("cli_ltv_pre_mod"),
-        four("mod_pol_ltv_post").alias("cli_ltv_post_mod"),
-        four("claim_amount").alias("claim_amount"),
-        F.min("early_lapse_decile").alias("early_lapse_decile"),
-    ]
+def _owner_sums() -> list[Column]:
+    ltv = {n: f"pol_ltv{n.removeprefix('cli_ltv')}" for n in ("cli_ltv", "cli_ltv_pre", "cli_ltv_post")}
+    measures = {
+        "coverage_ape": "cast(sum(coverage_ape) as double)",
+        "plan_nbv": "cast(sum(plan_nbv) as double)",
+        "rider_ape": "coalesce(cast(sum(rider_ape) as double), 0.0d)",
+        "rider_cnt": "sum(rider_cnt)",
+        "min_prem_dur": "min(prem_dur)",
+        **{n: money.total_text(of, 4) for n, of in ltv.items()},
+        **{f"{n}_mod": money.total_text(f"mod_{of}", 4) for n, of in ltv.items()},
+        "claim_amount": money.total_text("claim_amount", 4),
+        "early_lapse_decile": "min(early_lapse_decile)",
+    }
+    return [F.expr(text).alias(n) for n, text in measures.items()]
 
 
 def customer_ltv(t: Frames, snapshot: str, rate: Column, products: Mapping[str, str] = PRODUCTS) -> DataFrame:
     """Lifetime value per owner, customers of the agency channel only."""
     policies = stage(policy_level(coverage_value(t, snapshot, rate), products), "policy_level")
     sums = with_policy_ltv(policies, t, snapshot, rate)
-    owners = sums.groupBy("po_num").agg(*_owner_sums(sums))
+    owners = sums.groupBy("po_num").agg(*_owner_sums())
     agency = customer_channel(policies).filter(c("channel_final") == "Agency")
     return owners.join(agency, "po_num").withColumn("cli_nbv_margin", money.safe_ratio(c("plan_nbv"), c("coverage_ape")))
 
@@ -426,7 +424,7 @@ RECENCY_BANDS = {
 
 def recency_columns() -> dict[str, Column]:
     return {
-        f"{name}_{low}_{high}m": bands.flag((c(col) >= low) & (c(col) < high))
+        f"{name}_{low}_{high}m": bands.flag(f"{col} >= {low} and {col} < {high}")
         for col, (name, spans) in RECENCY_BANDS.items()
         for low, high in spans
     }
@@ -476,13 +474,13 @@ def client_level(
     rows = with_policy_ltv(policies, t, snapshot, rate)
     held = {n.removeprefix("f_").removesuffix("_ind"): n for n in STATUS_FLAGS}
     owners = rows.groupBy("po_num").agg(
-        *_owner_sums(rows),
+        *_owner_sums(),
         F.min("first_eff").alias("first_pol_eff_dt"),
         F.count("pol_num").alias("pol_count"),
-        *[F.sum(f"has_{n}").alias(f"{n}_pol") for n in products],
-        *[F.sum(flag_name).alias(f"{n}_pol") for n, flag_name in held.items()],
-        *[F.max(n).alias(n) for n in FLAG_COLUMNS if n not in STATUS_FLAGS],
-        *[F.sum(n).alias(n) for n in COUNT_COLUMNS],
+        *[F.expr(f"sum(has_{n})").alias(f"{n}_pol") for n in products],
+        *[F.expr(f"sum({flag_name})").alias(f"{n}_pol") for n, flag_name in held.items()],
+        *[F.expr(f"max({n})").alias(n) for n in FLAG_COLUMNS if n not in STATUS_FLAGS],
+        *[F.expr(f"sum({n})").alias(n) for n in COUNT_COLUMNS],
         (F.try_divide(F.sum("tenure_sum").cast("double"), F.sum("tenure_n").cast("double"))).alias("agt_tenure_yrs"),
         F.sum(bands.flag(c("inforce_year") >= long_years)).alias("long_pol_cnt"),
         F.sum("protection_fa").cast("double").alias("protection_fa"),
@@ -513,22 +511,22 @@ def client_level(
         {
             "client_tenure": tenure,
             "ins_typ_count": F.coalesce("ins_typ_count", F.lit(0)),
-            "multi_prod": bands.flag(c("pol_count") >= 2),
-            "inforce_ind": bands.flag(c("inforce_pol") > 0),
-            "f_with_rider": bands.flag(c("rider_cnt") > 0),
-            "f_male": bands.flag(c("sex_code") == "M"),
-            **{f"f_{n}_pol": bands.flag(c(f"{n}_pol") > 0) for n in products},
-            **{f"f_{o}_{n}": bands.flag(c(col) == v) for o, col in ordinal.items() for n, v in products.items()},
+            "multi_prod": bands.flag("pol_count >= 2"),
+            "inforce_ind": bands.flag("inforce_pol > 0"),
+            "f_with_rider": bands.flag("rider_cnt > 0"),
+            "f_male": bands.flag("sex_code = 'M'"),
+            **{f"f_{n}_pol": bands.flag(f"{n}_pol > 0") for n in products},
+            **{f"f_{o}_{n}": bands.flag(f"{col} = {v!r}") for o, col in ordinal.items() for n, v in products.items()},
             "vip": F.coalesce(vip_label(c("coverage_ape"), c("long_pol_cnt")), F.lit("none")),
-            "top1_3_lapse": bands.flag(c("early_lapse_decile") < 4),
-            "move_reg": bands.flag(c("activation_date").isNotNull()),
+            "top1_3_lapse": bands.flag("early_lapse_decile < 4"),
+            "move_reg": bands.flag("activation_date is not null"),
             "move_tenure_days": F.datediff(cut, "activation_date"),
             "move_last_log_days": F.datediff(cut, "lst_login_dt"),
             "adj_mthly_incm": adjusted_income(c("mthly_incm"), tenure),
             "cli_nbv_margin": money.safe_ratio(c("plan_nbv"), c("coverage_ape")),
         }
     )
-    return wide.withColumns({f"f_vip_{n}": bands.flag(c("vip") == n) for n in VIP_BOUNDS}).drop(
+    return wide.withColumns({f"f_vip_{n}": bands.flag(f"vip = '{n}'") for n in VIP_BOUNDS}).drop(
         "ins_typ_desc_1", "ins_typ_desc_2", "activation_date", "reg_dt", "lst_login_dt", "long_pol_cnt"
     )
 
