@@ -66,17 +66,23 @@ def interval_join(
 ) -> DataFrame:
     """Pairs of equal key where floor(months between l_dt and r_dt) is in low..high.
 
-    A hot key with a long history would test all its pairs. So each right row is first repeated for
-    the calendar months it can reach (high - low + 2 of them), and the month joins the equi key.
+    A hot key with a long history would test all its pairs. So months are cut into buckets a few
+    times as wide as the interval and the bucket joins the equi key. A right row reaches
+    high - low + 2 calendar months, which lie in one bucket or in two: it is repeated at most once,
+    and since a left row has one bucket, no pair comes twice.
     """
-    span = F.sequence(month_index(F.col(r_dt)) + low, month_index(F.col(r_dt)) + (high + 1))
-    reach = right.withColumnsRenamed({k: f"_r_{k}" for k in key}).withColumn("_month", F.explode(span))
-    cond = month_index(F.col(l_dt)) == F.col("_month")
+    width = 3 * (high - low + 2)
+    reached = month_index(F.col(r_dt))
+    buckets = F.array_distinct(
+        F.array(F.floor((reached + low) / F.lit(width)), F.floor((reached + (high + 1)) / F.lit(width)))
+    )
+    reach = right.withColumnsRenamed({k: f"_r_{k}" for k in key}).withColumn("_bucket", F.explode(buckets))
+    cond = F.floor(month_index(F.col(l_dt)) / F.lit(width)) == F.col("_bucket")
     for k in key:
         cond = cond & (F.col(k) == F.col(f"_r_{k}"))
     apart = F.floor(F.months_between(F.col(l_dt), F.col(r_dt)))
     return left.join(reach, cond & apart.between(low, high), how).drop(
-        "_month", *[f"_r_{k}" for k in key]
+        "_bucket", *[f"_r_{k}" for k in key]
     )
 
 

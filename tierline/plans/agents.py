@@ -292,6 +292,11 @@ def family_mix(fact: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- KPIs
 
+# What the KPI families read of the coverage fact; a job that writes the fact once keeps these.
+KPI_COLUMNS = [
+    "wa_cd_1", "pol_num", "po_num", "cli_num", "type", "po_ins_rela", "year_month", "mth_offset", "cvg_eff_dt",
+    "pol_eff_dt", "pol_trmn_dt", "pol_stat_cd", "cvg_typ", "adjust_ape", "nbv", "is_non_taken", "rejected", "lapsed", "repeated_sales",
+]
 SHORT_WINDOWS = ["last_mth", "last_3m", "last_6m", "last_9m", "last_12m"]
 
 

@@ -173,11 +173,9 @@ def policy_level(value: DataFrame, products: Mapping[str, str] = PRODUCTS) -> Da
     protection = f"case when ins_typ_desc in ({products['term']!r}, {products['whole']!r}) then coverage_fa end"
     measures = {
         "first_eff": "min(cvg_eff_dt)",
-        "channel": "max(channel)",
         **{n: f"max({n})" for n in FLAG_COLUMNS},
         **{n: f"sum({n})" for n in COUNT_COLUMNS},
         **{f"has_{n}": f"max(case when ins_typ_desc = {v!r} then 1 else 0 end)" for n, v in products.items()},
-        "ins_types": "collect_set(ins_typ_desc)",
         "tenure_sum": four("agt_tenure_yrs"),
         "tenure_n": "count(agt_tenure_yrs)",
         "inforce_year": "max(inforce_year)",
@@ -187,7 +185,9 @@ def policy_level(value: DataFrame, products: Mapping[str, str] = PRODUCTS) -> Da
         "protection_fa": four(protection),
         **{n: f"min({n})" for n in ("prem_dur", "prem_dur_pre", "prem_dur_post")},
     }
-    return value.groupBy("po_num", "pol_num").agg(*[F.expr(text).alias(n) for n, text in measures.items()])
+    # The channel is the same on all rows of a policy. As a grouping column, not an aggregate of text,
+    # it leaves the grouping hash-based.
+    return value.groupBy("po_num", "pol_num", "channel").agg(*[F.expr(text).alias(n) for n, text in measures.items()])
 
 
 def customer_channel(policies: DataFrame) -> DataFrame:
@@ -456,6 +456,21 @@ def adjusted_income(income: Column, tenure: Column) -> Column:
     return F.when(grown < 0, F.lit(INCOME_FLOOR)).when(grown > INCOME_CAP, F.lit(INCOME_CAP)).otherwise(grown)
 
 
+def product_types(t: Frames, snapshot: str) -> DataFrame:
+    """Distinct product types per owner, from the three columns this takes."""
+    snap = day(snapshot)
+    mine = t["policy"].filter((c("pol_eff_dt") <= snap) & ~c("pol_stat_cd").isin(UNVALUED_STATUSES)).select("pol_num", "po_num")
+    held = t["coverage"].filter(c("cvg_eff_dt") <= snap).select("pol_num", "plan_code")
+    rows = held.join(t["plan"].select("plan_code", "ins_typ_desc"), "plan_code").join(mine, "pol_num")
+    return (
+        rows.filter(c("ins_typ_desc").isNotNull())
+        .select("po_num", "ins_typ_desc")
+        .distinct()
+        .groupBy("po_num")
+        .agg(F.count("*").alias("ins_typ_count"))
+    )
+
+
 def client_level(
     t: Frames,
     snapshot: str,
@@ -486,12 +501,7 @@ def client_level(
         F.sum("protection_fa").cast("double").alias("protection_fa"),
         F.sum("coverage_fa").cast("double").alias("protection_fa_all"),
     )
-    types = (
-        policies.select("po_num", F.explode("ins_types").alias("type"))
-        .distinct()
-        .groupBy("po_num")
-        .agg(F.count("type").alias("ins_typ_count"))
-    )
+    types = product_types(t, snapshot)
     agency = customer_channel(policies).filter(c("channel_final") == "Agency")
     people = t["client"].select(
         c("cli_num").alias("po_num"), "mthly_incm", "customer_segment", "cur_age", "sex_code", "no_dpnd", "city_cd"

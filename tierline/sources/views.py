@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
+FACT_KEYS = {"lineitem": "l_orderkey", "orders": "o_orderkey"}
+
 VIEW_SQL: dict[str, str] = {
     "agent": """
 select s_suppkey as agt_code, s_name as agt_nm, s_nationkey as loc_cd, s_acctbal as acum_bal,
@@ -156,9 +158,17 @@ class Tables(Mapping):
                 used = {b: self[b] for b in set(re.findall(r"\{(\w+)\}", text))}
                 self._built[name] = self.spark.sql(text, **used)
             else:
-                self._built[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+                self._built[name] = self._read(name)
         return self._built[name]
 
+    def _read(self, name: str) -> DataFrame:
+        """A fact table kept as one file is read by one task, and joins with broadcast sides would
+        stay in that task. Only such a table is spread by its key; a table of many files is not."""
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name in FACT_KEYS and len(df.inputFiles()) == 1:
+            return df.repartition(FACT_KEYS[name])
+        return df
+
     def __iter__(self) -> Iterator[str]:
         return iter([*BASE_TABLES, *VIEW_SQL])
 
