@@ -433,10 +433,18 @@ def recency_columns() -> dict[str, Column]:
 def recency_flags(t: Frames, snapshot: str) -> DataFrame:
     """Months since last purchase and termination and to next maturity, in bands, per owner."""
     snap = day(snapshot)
-    bought = t["policy"].filter(c("pol_eff_dt") <= snap).groupBy("po_num").agg(F.max("pol_eff_dt").alias("lst_eff_dt"))
-    ended = inactive_owners(t).select("po_num", "last_termination_date")
-    rows = joins.star_join(bought, [(ended, ["po_num"]), (next_maturity(t, snapshot), ["po_num"])])
-    months = rows.select(
+    live = F.max(bands.flag(c("pol_stat_cd").isin(k.IN_FORCE)))
+    days = (
+        t["policy"]
+        .groupBy("po_num")
+        .agg(
+            F.max(F.when(c("pol_eff_dt") <= snap, c("pol_eff_dt"))).alias("lst_eff_dt"),
+            F.when(live == 0, F.max("pol_trmn_dt")).alias("last_termination_date"),
+            F.min(F.when(c("xpry_dt") >= snap, c("xpry_dt"))).alias("min_mat_date"),
+        )
+        .filter(c("lst_eff_dt").isNotNull())
+    )
+    months = days.select(
         "po_num",
         dates.elapsed(snap, c("lst_eff_dt"), 30.0).alias("lst_purchase_mth"),
         dates.elapsed(snap, c("last_termination_date"), 30.0).alias("lst_termination_mth"),
