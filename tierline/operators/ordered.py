@@ -47,22 +47,18 @@ def in_ranges(df: DataFrame, order: Order) -> DataFrame:
     )
 
 
-def rows_at(ranged: DataFrame, positions: Sequence[int]) -> dict[int, dict]:
-    """The rows at the given global positions (0-based) of a ranged frame.
+def range_sizes(ranged: DataFrame) -> list[tuple[int, int]]:
+    """(range, rows) in order; as many entries as there are ranges."""
+    return sorted((r["_range"], r["count"]) for r in ranged.groupBy("_range").count().collect())
 
-    Reads one row count per range and then `positions` rows; both are bounded by the number of
-    ranges and of positions, not by the data.
-    """
-    sizes = {r["_range"]: r["count"] for r in ranged.groupBy("_range").count().collect()}
-    starts, seen = [], 0
-    for number in sorted(sizes):
-        starts.append((number, seen, seen + sizes[number]))
-        seen += sizes[number]
+
+def rows_at(ranged: DataFrame, sizes: Sequence[tuple[int, int]], positions: Sequence[int]) -> dict[int, dict]:
+    """The rows at the given global positions (0-based) of a ranged frame: one row per position."""
     where: dict[tuple[int, int], int] = {}
-    for pos in positions:
-        for number, low, high in starts:
-            if low <= pos < high:
-                where[(number, pos - low)] = pos
+    start = 0
+    for number, size in sizes:
+        where |= {(number, pos - start): pos for pos in positions if start <= pos < start + size}
+        start += size
     if not where:
         return {}
     test = F.lit(False)
@@ -104,8 +100,9 @@ def ntile_global(df: DataFrame, n: int, order: Order, name: str = "bucket") -> D
     each row of `df`, which is neither shuffled nor joined.
     """
     ranged = in_ranges(df.select(*[c for c, _ in order]), order)
-    ends = bucket_ends(ranged.count(), n)
-    found = rows_at(ranged, ends)
+    sizes = range_sizes(ranged)
+    ends = bucket_ends(sum(size for _, size in sizes), n)
+    found = rows_at(ranged, sizes, ends)
     bucket = F.lit(1)
     for pos in ends:
         bucket = bucket + F.when(_comes_after(order, found[pos]), 1).otherwise(0)
