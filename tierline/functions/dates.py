@@ -43,6 +43,11 @@ def year_month(day: Column) -> Column:
     return F.date_format(day, "yyyy-MM")
 
 
+def quarter_index(day: Column, months_back: int = 0) -> Column:
+    """Running number of the quarter `months_back` months before the month of `day`."""
+    return F.floor((month_index(day) - (1 + months_back)) / F.lit(3)).cast("int")
+
+
 def lagged_quarter(day: Column) -> Column:
     """Label of the financial quarter two quarters earlier, e.g. 2001-05-10 -> '2000 Q4'."""
     back = F.add_months(day, -6)

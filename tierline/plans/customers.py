@@ -130,15 +130,17 @@ def margin_by_channel(loc: Column, channel: Column, margins: Mapping[str, Column
 
 def coverage_value(t: Frames, snapshot: str, rate: Column) -> DataFrame:
     """New-business value, annual premium and face amount per coverage, and its channel."""
+    # Quarters join by number; the label is only for readers of the result.
     dated = t["margin_history"].select(
         "plan_code",
-        F.concat(F.year("effective_date").cast("string"), F.lit(" Q"), F.quarter("effective_date").cast("string")).alias("effective_qtr"),
+        dates.quarter_index(c("effective_date")).alias("_qtr"),
         c("nbv_margin").alias("dated_margin"),
     )
     base = policy_base(t, snapshot).filter(~c("pol_stat_cd").isin(UNVALUED_STATUSES))
-    rows = base.withColumn("effective_qtr", dates.lagged_quarter(c("cvg_eff_dt"))).join(
-        dated, ["plan_code", "effective_qtr"], "left"
+    labelled = base.withColumns(
+        {"effective_qtr": dates.lagged_quarter(c("cvg_eff_dt")), "_qtr": dates.quarter_index(c("cvg_eff_dt"), 6)}
     )
+    rows = labelled.join(dated, ["plan_code", "_qtr"], "left")
     a = joins.lookup_coalesce(c("nbv_margin_a"), c("dated_margin"))
     b = joins.lookup_coalesce(c("nbv_margin_b"), c("dated_margin"))
     margins = {"other_banks": a, "affinity": b, "agency": a, "direct": a, "other": b, "tcb": a, "scb": b}
@@ -158,7 +160,7 @@ def coverage_value(t: Frames, snapshot: str, rate: Column) -> DataFrame:
                 "channel": channel,
             }
         )
-        .drop("_rate", "dated_margin", "nbv_margin_a", "nbv_margin_b", "cvg_prem", "face_amt")
+        .drop("_rate", "_qtr", "dated_margin", "nbv_margin_a", "nbv_margin_b", "cvg_prem", "face_amt")
     )
 
 
