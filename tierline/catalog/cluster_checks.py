@@ -36,3 +36,10 @@ def _(t):
     path = fresh_path(t.spark, "model")
     C.save_model(*C.fit_clusters(people), path)
     return C.customer_clusters(people, *C.load_model(t.spark, path))
+
+
+@query("score_all_segments")
+def _(t):
+    people = level(t)
+    clusters = C.customer_clusters(people, *C.fit_clusters(people))
+    return C.segment_clusters(people, clusters)

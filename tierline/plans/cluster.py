@@ -106,3 +106,9 @@ def save_model(prep: PipelineModel, model: KMeansModel, path: str) -> None:
 def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, KMeansModel]:
     _ = spark  # the readers use the active session
     return PipelineModel.load(f"{path}/preparation"), KMeansModel.load(f"{path}/clusters")
+
+
+def segment_clusters(level: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Customers per marketing segment and cluster; all segments were scored in one transform."""
+    rows = level.select("po_num", "customer_segment").join(clusters, "po_num", "left")
+    return agg.crosstab_counts(rows, ["customer_segment", "clusters"], "customers")
