@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tierline.llm.common import table
+from tierline.llm.mixing import mix
 from tierline.llm.ngram_join import Rule, ngram_components
 from tierline.llm.sharding import shard
 
@@ -27,3 +28,8 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(table(spark, sf_dir, "documents"), Rule(words=4, num=85, den=100))
+
+
+@_query
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"))
