@@ -168,7 +168,7 @@ def grouped(batches: Iterator[pa.RecordBatch], keys: Sequence[str]) -> Iterator[
 # Bitmaps: sets of hashes in a fixed number of bits. A bit may stand for several hashes, so a test lets some
 # others through; the exact join that follows drops them.
 
-BITMAP_BITS = 23
+BITMAP_BITS = 25
 
 
 def bitmap(df: DataFrame, col: str, bits: int = BITMAP_BITS) -> np.ndarray:

@@ -2,8 +2,10 @@
 
 Two documents link when |A n B| / |A u B| reaches the threshold. The result is the connected components.
 
-* Any two linking sets share a token among the first `n - ceil(t * n) + 1` of each in a common order. Tokens
-  are ordered by a frequency class, then by hash, so that passages common to many documents come last.
+* Any two linking sets share a token among the first `n - ceil(t * n) + 1` of each in a common order, and one
+  more for each token that both prefixes are made longer by. Tokens are ordered by a frequency class, then by
+  hash, so that passages common to many documents come last. A set with fewer shared tokens in its prefix
+  than any partner must find there is left out, and the lists are drawn up anew without it.
 * Index level: the lists of documents by token are joined into one group per least list member. Within a
   group a block of members is skipped if sizes or positions leave too little overlap: with the first common
   token at position p of a set of n, at most n - p tokens can be shared. Only sets that survive are fetched.
@@ -39,6 +41,8 @@ class Rule:
     words: int = 5
     num: int = 80
     den: int = 100
+    #: Part of a set, in hundredths, that its prefix is longer than one shared token needs.
+    extra: int = 5
     #: Members of a block, and shingles in it.
     block_members: int = 1024
     block_shingles: int = 1 << 20
@@ -48,7 +52,12 @@ class Rule:
         return -(-self.num * total // (self.den + self.num))
 
     def prefix(self, n: int) -> int:
-        return n + (-self.num * n // self.den) + 1
+        return min(n, n + (-self.num * n // self.den) + 1 + n * self.extra // 100)
+
+    def shared(self, n: str) -> str:
+        """SQL: tokens in the prefix of a set of size `n` that each partner's prefix holds too. The smallest
+        partner has ceil(t * n) members."""
+        return f"1 + (({self.num} * {n} + {self.den - 1}) div {self.den}) * {self.extra} div 100"
 
 
 def _long(x: np.ndarray) -> pa.Array:
@@ -185,6 +194,26 @@ def _sets(rule: Rule, wanted):
     return run
 
 
+_POSTING = "token long, sig long, n long, pos long"
+
+
+def _hubs(postings: DataFrame) -> DataFrame:
+    """(token, hub): tokens that occur more than once, and the least set of their lists."""
+    return (
+        postings.groupBy("token")
+        .agg(F.count("*").alias("c"), F.min("sig").alias("hub"))
+        .where("c > 1")
+        .select("token", "hub")
+    )
+
+
+def _enough(rule: Rule, postings: DataFrame) -> DataFrame:
+    """The postings of sets that share as many tokens as a link needs. Copies of a row count once."""
+    once = postings.select("token", "sig", "n", "pos").distinct()
+    enough = once.groupBy("sig").agg(F.count("*").alias("c"), F.min("n").alias("n")).where(f"c >= {rule.shared('n')}")
+    return once.join(enough.select("sig"), "sig", "left_semi")
+
+
 # Work inside a block of a group.
 
 
@@ -359,21 +388,13 @@ def ngram_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
         docs.mapInArrow(_describe(rule), "doc_id long, n long, sig long, block int, counts binary"), "described"
     )
     classes = spark.sparkContext.broadcast(_classes(described))  # 2**SKETCH_BITS bytes
-    hubs = stage(
-        texts.mapInArrow(_prefixes(rule, classes), "token long, sig long, n long, pos long")
-        .groupBy("token")
-        .agg(F.count("*").alias("c"), F.min("sig").alias("hub"))
-        .where("c > 1")
-        .select("token", "hub"),
-        "hubs",
-    )
+    hubs = stage(_hubs(texts.mapInArrow(_prefixes(rule, classes), _POSTING)), "hubs")
     shared = spark.sparkContext.broadcast(bitmap(hubs, "token"))
-    members = (
-        texts.mapInArrow(_prefixes(rule, classes, shared), "token long, sig long, n long, pos long")
-        .join(hubs, "token")
-        .groupBy("hub", "sig")
-        .agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
-    )
+    postings = texts.mapInArrow(_prefixes(rule, classes, shared), _POSTING).join(hubs, "token", "left_semi")
+    for _ in range(2):
+        postings = _enough(rule, stage(postings, "postings"))
+        postings = postings.join(_hubs(postings), "token")
+    members = postings.groupBy("hub", "sig").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
     blocks = stage(_blocks(rule, stage(members, "members")), "blocks")
     jobs = stage(
         blocks.select("hub", "block", "blocks", "sig", "n", "pos")
