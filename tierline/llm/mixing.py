@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tierline.llm.common import grouped, word_count
+from tierline.llm.common import grouped, small_batches, word_count
 from tierline.sources.sink import stage
 
 #: Weights in turn, for sources in order of code point, null last.
@@ -132,6 +132,7 @@ def mix_units(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float
     """(doc_id, source, size, text_hash, copies, source_size, target, times): how often each document is
     taken. One row per source comes to the driver."""
     spark = docs.sparkSession
+    small_batches(spark, 10_000)
     units = stage(_units(docs), "units")
     found = units.groupBy("source").agg(
         F.sum(F.col("size") * F.col("copies")).alias("s"), F.count("*").alias("c")
