@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tierline.llm.common import table
 from tierline.llm.mixing import mix
 from tierline.llm.ngram_join import Rule, ngram_components
+from tierline.llm.pii import personal_data
 from tierline.llm.sharding import shard
 from tierline.llm.warc import archived
 
@@ -39,3 +40,8 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archived(table(spark, sf_dir, "pages"))
+
+
+@_query
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(table(spark, sf_dir, "documents"))
