@@ -10,6 +10,7 @@ from tierline.llm.common import table
 from tierline.llm.mixing import mix
 from tierline.llm.ngram_join import Rule, ngram_components
 from tierline.llm.pii import personal_data
+from tierline.llm.quality import quality
 from tierline.llm.sharding import shard
 from tierline.llm.warc import archived
 
@@ -45,3 +46,8 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
