@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tierline.llm.common import table
+from tierline.llm.language import languages
 from tierline.llm.mixing import mix
 from tierline.llm.ngram_join import Rule, ngram_components
 from tierline.llm.pii import personal_data
@@ -51,3 +52,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(table(spark, sf_dir, "documents"))
