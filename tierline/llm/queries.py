@@ -13,6 +13,7 @@ from tierline.llm.ngram_join import Rule, ngram_components
 from tierline.llm.pii import personal_data
 from tierline.llm.quality import quality
 from tierline.llm.sharding import shard
+from tierline.llm.toxicity import toxicity
 from tierline.llm.warc import archived
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +58,8 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
