@@ -54,10 +54,13 @@ class Rule:
     def prefix(self, n: int) -> int:
         return min(n, n + (-self.num * n // self.den) + 1 + n * self.extra // 100)
 
-    def shared(self, n: str) -> str:
-        """SQL: tokens in the prefix of a set of size `n` that each partner's prefix holds too. The smallest
-        partner has ceil(t * n) members."""
-        return f"1 + (({self.num} * {n} + {self.den - 1}) div {self.den}) * {self.extra} div 100"
+    def shared(self, n):
+        """Tokens in the prefix of a set of `n` (a number or a column) that each partner's prefix holds too.
+        The smallest partner has ceil(t * n) members."""
+        least = (self.num * n + self.den - 1) / self.den
+        if isinstance(n, int):
+            return 1 + (self.num * n + self.den - 1) // self.den * self.extra // 100
+        return 1 + F.floor(F.floor(least) * self.extra / 100)
 
 
 def _long(x: np.ndarray) -> pa.Array:
@@ -141,7 +144,7 @@ def _classes(described: DataFrame) -> np.ndarray:
 
 def _prefixes(rule: Rule, classes, tokens=None):
     """(token, sig, n, pos) for the prefix of each set; a set is given once per task. `tokens`: a bitmap that
-    the token must be in."""
+    the token must be in; a set with too few such tokens is left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cls, wanted = classes.value, tokens.value if tokens is not None else None
@@ -160,6 +163,8 @@ def _prefixes(rule: Rule, classes, tokens=None):
                 at = np.arange(len(first))
                 if wanted is not None:
                     keep = in_bitmap(wanted, first)
+                    if keep.sum() < rule.shared(n):
+                        continue
                     first, at = first[keep], at[keep]
                 out[0].append(first)
                 out[1].append(np.full(len(first), sig, np.int64))
@@ -210,7 +215,7 @@ def _hubs(postings: DataFrame) -> DataFrame:
 def _enough(rule: Rule, postings: DataFrame) -> DataFrame:
     """The postings of sets that share as many tokens as a link needs. Copies of a row count once."""
     once = postings.select("token", "sig", "n", "pos").distinct()
-    enough = once.groupBy("sig").agg(F.count("*").alias("c"), F.min("n").alias("n")).where(f"c >= {rule.shared('n')}")
+    enough = once.groupBy("sig").agg(F.count("*").alias("c"), F.min("n").alias("n")).where(F.col("c") >= rule.shared(F.col("n")))
     return once.join(enough.select("sig"), "sig", "left_semi")
 
 
@@ -391,9 +396,8 @@ def ngram_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     hubs = stage(_hubs(texts.mapInArrow(_prefixes(rule, classes), _POSTING)), "hubs")
     shared = spark.sparkContext.broadcast(bitmap(hubs, "token"))
     postings = texts.mapInArrow(_prefixes(rule, classes, shared), _POSTING).join(hubs, "token", "left_semi")
-    for _ in range(2):
-        postings = _enough(rule, stage(postings, "postings"))
-        postings = postings.join(_hubs(postings), "token")
+    postings = stage(_enough(rule, stage(postings, "postings")), "postings")
+    postings = postings.join(_hubs(postings), "token")
     members = postings.groupBy("hub", "sig").agg(F.min("n").alias("n"), F.min("pos").alias("pos"))
     blocks = stage(_blocks(rule, stage(members, "members")), "blocks")
     jobs = stage(
