@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tierline.llm.common import table
+from tierline.llm.decontamination import matches
 from tierline.llm.language import languages
 from tierline.llm.mixing import mix
 from tierline.llm.ngram_join import Rule, ngram_components
@@ -63,3 +64,8 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@_query
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
