@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tierline.llm.common import table
 from tierline.llm.decontamination import matches
+from tierline.llm.html_text import extract
 from tierline.llm.language import languages
 from tierline.llm.mixing import mix
 from tierline.llm.ngram_join import Rule, ngram_components
@@ -69,3 +70,8 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@_query
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
