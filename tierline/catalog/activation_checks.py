@@ -13,7 +13,7 @@ from tierline.plans import customers as K
 from tierline.sources.sink import stage
 
 APE_UNIT, MIN_BRANCH = 1000.0, 3
-MIX_BOUNDS = [2000, 3000, 4000, 6000, 8000]
+MIX_BOUNDS = [46000, 69000, 92000, 138000, 184000]
 
 
 def kpis(t):

@@ -32,7 +32,7 @@ derived(
          when 'E. 2-3K' then '3 Mid Income' when 'F. 1.5-2K' then '3 Mid Income' when 'G. 500-1.5K' then '4 Low Income' when 'H. <500' then '5 Bottom of Pyramid'
          else '6 No/Missing Income' end as income_segment from (
        select *, case when mthly_incm_99 >= 1717 then 'A > 1717' when mthly_incm_99 >= 1288 then 'B > 1288-1717' when mthly_incm_99 >= 858 then 'C > 858-1288'
-         when mthly_incm_99 >= 644 then 'D > 644-858' when mthly_incm_99 >= 429 then 'E > 429-644' when mthly_incm_99 < 429 then 'F <429' else 'G Null' end as vn_income_class,
+         when mthly_incm_99 >= 644 then 'D > 644-858' when mthly_incm_99 >= 429 then 'E > 429-644' when mthly_incm_99 < 429 then 'F <429' else 'G Null' end as local_income_class,
        case when adj_mthly_incm > 10000 then 'A. > 10K' when adj_mthly_incm > 7000 then 'B. 7-10K' when adj_mthly_incm > 5000 then 'C. 5-7K' when adj_mthly_incm > 3000 then 'D. 3-5K'
          when adj_mthly_incm > 2000 then 'E. 2-3K' when adj_mthly_incm > 1500 then 'F. 1.5-2K' when adj_mthly_incm >= 500 then 'G. 500-1.5K' when adj_mthly_incm < 500 then 'H. <500'
          else 'I. NaN' end as vip_income_class from income_gap) q""",
@@ -51,7 +51,7 @@ def _(t):
     return I.protection_gap(live).select("po_num", "f_with_dependent", "mthly_incm_99", "protection_gap_v2", "protection_gap_all", "wallet_rem")
 
 
-@query("income_class_pyramid", "select income_decile, vn_income_class, count(*) as n from income_frame group by 1, 2")
+@query("income_class_pyramid", "select income_decile, local_income_class, count(*) as n from income_frame group by 1, 2")
 def _(t):
     return I.income_class_pyramid(frame(t))
 

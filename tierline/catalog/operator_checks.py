@@ -109,11 +109,18 @@ def _(t):
     return back.groupBy("pol_stat_cd").agg(F.count("*").alias("n"), M.total(c("tot_ape")).alias("ape"))
 
 
-@query("save_table", "select region, city, count(*) as n from location group by region, city")
+@query(
+    "save_table",
+    """select region, case when region = 'ASIA' then concat(city, ' again') else city end as city, count(*) as n
+       from location group by 1, 2""",
+)
 def _(t):
     path = sink.fresh_path(t.spark, "table")
     name = "tierline_" + path[-12:]
-    sink.save_table(t["location"].select("loc_cd", "city", "region"), name, ["region"], path)
+    rows = t["location"].select("loc_cd", "city", "region")
+    sink.save_table(rows, name, ["region"], path)
+    again = rows.where("region = 'ASIA'").select("region", F.concat("city", F.lit(" again")).alias("city"), "loc_cd")
+    sink.save_table(again, name, ["region"], path)
     return A.crosstab_counts(scan.scan_table(t.spark, name), ["region", "city"])
 
 
@@ -427,12 +434,15 @@ def _(t):
     return J.join_named_keys(t["client"], newest, {"cli_num": "po_num"}, "inner").select("cli_num", "pol_num", "tot_ape")
 
 
-_IDENTITY_SQL = """select p.po_num, max(case when o.id_num = a.id_num
-   or (o.per_nm = a.per_nm and o.birth_dt = a.birth_dt and o.sex_code = a.sex_code and o.email_addr = a.email_addr)
-   or (o.per_nm = a.per_nm and o.birth_dt = a.birth_dt and o.sex_code = a.sex_code and o.mobl_phon_num = a.mobl_phon_num)
-   then 1 else 0 end) as f_owner_is_agent
-   from policy p join client o on p.po_num = o.cli_num left join policy_agent w using (pol_num)
-   left join agent a on w.wa_code = a.agt_code group by p.po_num"""
+# A person is known by one of three keys; owner and agent are the same if any key is.
+_KEYS_SQL = """select {id} as id, 'id' as kind, id_num as k from {table} where id_num is not null
+   union all select {id}, 'mail', per_nm || '/' || birth_dt || '/' || sex_code || '/' || email_addr from {table}
+   union all select {id}, 'phone', per_nm || '/' || birth_dt || '/' || sex_code || '/' || mobl_phon_num from {table}"""
+_IDENTITY_SQL = f"""select po_num, cast(count(agt_code) > 0 as int) as f_owner_is_agent
+   from policy join client on po_num = cli_num left join policy_agent using (pol_num)
+   left join (select distinct own.id as cli_num, seller.id as agt_code from ({_KEYS_SQL.format(id='cli_num', table='client')}) own
+              join ({_KEYS_SQL.format(id='agt_code', table='agent')}) seller using (kind, k)) same
+   on same.cli_num = po_num and agt_code = wa_code group by po_num"""
 
 
 @query("identity_match", _IDENTITY_SQL)
@@ -616,10 +626,11 @@ def _percentile_sql(col: str) -> str:
 @query(
     "percentiles",
     f"""select pol_stat_cd, {_percentile_sql('tot_ape')}, count(*) as n_rows, min(tot_ape) as min_value,
-        max(tot_ape) as max_value, {average('tot_ape')} as mean_value from policy group by pol_stat_cd""",
+        max(tot_ape) as max_value, round({average('tot_ape')}, 4) as mean_value from policy group by pol_stat_cd""",
 )
 def _(t):
-    return O.percentiles(t["policy"], ["pol_stat_cd"], "tot_ape", _SHARES)
+    out = O.percentiles(t["policy"], ["pol_stat_cd"], "tot_ape", _SHARES)
+    return out.withColumns({n: F.round(n, 4) for n in _SHARES} | {"mean_value": F.round("mean_value", 4)})
 
 
 @query(
@@ -630,7 +641,8 @@ def _(t):
     ),
 )
 def _(t):
-    return A.quantile_cutoffs(t["coverage"], ["cvg_prem", "prem_dur"], {"high": 0.75, "moderate": 0.25})
+    cuts = A.quantile_cutoffs(t["coverage"], ["cvg_prem", "prem_dur"], {"high": 0.75, "moderate": 0.25})
+    return cuts.withColumns({n: F.round(n, 4) for n in ("high", "moderate")})
 
 
 @query(

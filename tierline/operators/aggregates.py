@@ -72,20 +72,27 @@ def trailing_distinct(
     """
     single = single or {}
     seen = " | ".join(f"case when {cond} then {1 << i}L else 0L end" for i, cond in enumerate(windows.values()))
+    if len(windows) > 63:
+        raise ValueError("more windows than a long has bits")
     entries, outputs = [], []
-    for number, (item, groups) in enumerate(families.items()):
-        terms = [
-            f"case when {cond} then shiftleft(_seen, {len(windows) * i}) else 0L end"
-            for i, cond in enumerate(groups.values())
-        ]
-        names = [f"{w}_{name}" for name in groups for w in windows]
-        for name, cond in single.get(item, {}).items():
-            terms.append(f"case when {cond} then {1 << len(names)}L else 0L end")
-            names.append(name)
-        if len(names) > 63:
-            raise ValueError("more conditions on one item than a long has bits")
+
+    def entry(item: str, terms: list[str], names: list[str]) -> None:
+        """One long of bits for an item; an item with more conditions has several."""
+        number = len(entries)
         entries.append(f"named_struct('family', {number}, 'item', cast({item} as string), 'bits', {' | '.join(terms)})")
-        outputs += [(number, i, name) for i, name in enumerate(names)]
+        outputs.extend((number, i, name) for i, name in enumerate(names))
+
+    for item, groups in families.items():
+        listed, fit = list(groups.items()), 63 // max(1, len(windows))
+        for at in range(0, len(listed), fit):
+            part = listed[at : at + fit]
+            terms = [f"case when {cond} then shiftleft(_seen, {len(windows) * i}) else 0L end" for i, (_, cond) in enumerate(part)]
+            entry(item, terms, [f"{w}_{name}" for name, _ in part for w in windows])
+    for item, flags in single.items():
+        listed = list(flags.items())
+        for at in range(0, len(listed), 63):
+            part = listed[at : at + 63]
+            entry(item, [f"case when {cond} then {1 << i}L else 0L end" for i, (_, cond) in enumerate(part)], [n for n, _ in part])
     widest = max(i for _, i, _ in outputs) + 1
     items = (
         df.withColumn("_seen", F.expr(seen))

@@ -1,4 +1,4 @@
-"""Joins. Sides are hinted as broadcast only after their size was checked; otherwise Spark picks."""
+"""Joins. Which side is broadcast is left to Spark, which knows sizes in bytes."""
 
 from __future__ import annotations
 
@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from tierline.functions.dates import month_index
 
-BROADCAST_ROWS = 100_000
-
-
 def join_inner(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
     return left.join(right, list(on))
 
@@ -39,10 +36,9 @@ def star_join(fact: DataFrame, dims: Sequence[tuple[DataFrame, Sequence[str]]])
 
 
 def join_broadcast(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
-    """Broadcast `right` if it has at most `BROADCAST_ROWS` rows (the check reads no more than
-    that); else leave the join to Spark."""
-    small = right.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return left.join(F.broadcast(right) if small else right, list(on), how)
+    """Join a side that is small as a rule. Spark broadcasts it while its bytes are below
+    `spark.sql.autoBroadcastJoinThreshold`, by estimate or as found while running, and shuffles it beyond."""
+    return left.join(right, list(on), how)
 
 
 def join_roles(fact: DataFrame, dim: DataFrame, key: str, roles: Mapping[str, str], cols: Sequence[str]) -> DataFrame:

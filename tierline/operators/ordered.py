@@ -184,7 +184,7 @@ def average_rank(df: DataFrame, col: str, name: str = "rank") -> DataFrame:
 def percentiles(
     df: DataFrame, group: Sequence[str], col: str, shares: Mapping[str, float]
 ) -> DataFrame:
-    """Exact interpolated percentiles per group with mean, min, max and count.
+    """Exact interpolated percentiles per group with mean, min, max and count, none of them rounded.
 
     Equal values are counted before anything is sorted, and the sort is spread over ranges, so a
     group with a third of all rows does not end up in one task.
@@ -196,7 +196,7 @@ def percentiles(
         F.sum("_n").alias("n_rows"),
         F.min(col).alias("min_value"),
         F.max(col).alias("max_value"),
-        (F.sum((F.col(col).cast("decimal(18,2)") * F.col("_n"))).cast("double") / F.sum("_n")).alias("mean_value"),
+        (F.sum(F.col(col).cast("decimal(24,8)") * F.col("_n").cast("decimal(13,0)")).cast("double") / F.sum("_n")).alias("mean_value"),
     )
     if group:
         both = placed.join(totals.select(*group, "n_rows"), list(group))
@@ -211,9 +211,7 @@ def percentiles(
         aggs.append(F.max(at - F.floor(at)).alias(f"_part_{name}"))
     picked = both.groupBy(*group).agg(*aggs)
     values = [
-        F.round(
-            F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_part_{n}"), 4
-        ).alias(n)
+        (F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_part_{n}")).alias(n)
         for n in shares
     ]
     if group:

@@ -136,7 +136,7 @@ def agent_levels(t: Frames, snapshot: str) -> DataFrame:
     base = stage(agent_income_class(t, snapshot))
     orders = {
         "income_decile": [("mthly_incm_usd", "desc"), ("agt_cd", "asc")],
-        "income_decile_last_12m": [("last_12m_mthly_incm_usd", "desc"), ("agt_cd", "asc")],
+        "recent_income_decile": [("last_12m_mthly_incm_usd", "desc"), ("agt_cd", "asc")],
     }
     ranked = ordered.ntile_multi(base, 10, orders)
     age = F.floor(F.months_between(day(snapshot), c("birth_dt")) / 12).cast("int")
@@ -150,8 +150,8 @@ def agent_levels(t: Frames, snapshot: str) -> DataFrame:
                 "tier_rank": bands.map_codes(c("tier"), bands.TIER_RANK),
                 "sa_status": 1 - c("_recent"),
                 "agent_age": age,
-                "psm_lv_1_name": text.labelled(c("loc_cd"), c("manager_name_0")),
-                "psm_lv_2_name": text.labelled(c("loc_cd"), c("manager_name_1")),
+                "unit_label": text.labelled(c("loc_cd"), c("manager_name_0")),
+                "branch_label": text.labelled(c("loc_cd"), c("manager_name_1")),
             }
         )
         .withColumn("age_band", bands.first_match(age_rules, "0. Under 18"))

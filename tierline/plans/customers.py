@@ -227,7 +227,7 @@ def vip_segment(policies: DataFrame, long_years: int = 10) -> DataFrame:
 
 
 def approved_claims(t: Frames, snapshot: str, rate: Column) -> DataFrame:
-    rows = t["claim"].filter((c("clm_stat_code") == "A") & (c("clm_recv_dt") <= day(snapshot)))
+    rows = t["claim"].filter((c("clm_stat_code") == "A") & (c("clm_aprov_dt") <= day(snapshot)))
     sums = rows.groupBy("pol_num").agg(money.total(c("clm_aprov_amt"), 4).alias("_amt"))
     return sums.select("pol_num", (c("_amt") / rate).alias("claim_amount"))
 
@@ -240,7 +240,7 @@ def with_policy_ltv(policies: DataFrame, t: Frames, snapshot: str, rate: Column)
     claims and the lapse score taken off."""
     scores = [
         (approved_claims(t, snapshot, rate), ["pol_num"]),
-        (t["lapse"].select("pol_num", "lapse_score"), ["pol_num"]),
+        (t["lapse"].select("pol_num", "lapse_score", "next_due_decile"), ["pol_num"]),
         (t["early_lapse"].select("pol_num", "p_1", c("decile").alias("early_lapse_decile")), ["pol_num"]),
     ]
     rows = joins.star_join(policies, scores)
@@ -251,6 +251,7 @@ def with_policy_ltv(policies: DataFrame, t: Frames, snapshot: str, rate: Column)
     out = rows.withColumns(
         {
             "claim_amount": claims,
+            "lapse_decile": F.least("next_due_decile", "early_lapse_decile"),
             "_stays": stays,
             "years_ltv": nbv * c("prem_dur") * stays,
             "years_ltv_pre": nbv * c("prem_dur_pre") * stays,
@@ -274,7 +275,7 @@ def policy_ltv(t: Frames, snapshot: str, rate: Column, products: Mapping[str, st
         money.safe_ratio(c("plan_nbv"), c("coverage_ape")).alias("cli_nbv_margin"),
         F.coalesce(c("rider_ape").cast("double"), F.lit(0.0)).alias("rider_ape"), "rider_cnt",
         "prem_dur", "prem_dur_pre", "claim_amount",
-        "years_ltv", "years_ltv_pre", "years_ltv_post", *LTV_COLUMNS, "early_lapse_decile",
+        "years_ltv", "years_ltv_pre", "years_ltv_post", *LTV_COLUMNS, "early_lapse_decile", "lapse_decile",
     )
 
 
@@ -297,6 +298,7 @@ def _owner_sums() -> list[Column]:
         **{f"{n}_mod": money.total_text(f"mod_{of}", 4) for n, of in ltv.items()},
         "claim_amount": money.total_text("claim_amount", 4),
         "early_lapse_decile": "min(early_lapse_decile)",
+        "lapse_decile": "min(lapse_decile)",
     }
     return [F.expr(text).alias(n) for n, text in measures.items()]
 
@@ -331,6 +333,8 @@ def first_second_product(t: Frames) -> DataFrame:
 
 # Agent provider codes.
 OWN_AGENT, COLLECTOR, MANAGERS = "01", "04", ["97", "98"]
+# Relation by the provider of an agent that is still there.
+RELATION = {"01": "Original Agent", "04": "Orphaned-Collector", "97": "Orphaned-Agent is SM", "98": "Orphaned-Agent is SM"}
 
 
 def agent_assignment(t: Frames) -> DataFrame:
@@ -342,15 +346,9 @@ def agent_assignment(t: Frames) -> DataFrame:
         ),
         who, "agt_code", {"_wa": "wa", "_sa": "sa"}, ["comp_prvd_num", "trmn_dt"],
     ).filter(c("wa_comp_prvd_num").isin(OWN_AGENT, *MANAGERS) & c("sa_comp_prvd_num").isin(OWN_AGENT, COLLECTOR, *MANAGERS))
-    provider = c("sa_comp_prvd_num")
-    relation = (
-        F.when(c("sa_trmn_dt").isNotNull() & provider.isin(OWN_AGENT, COLLECTOR, *MANAGERS), "Orphaned")
-        .when((provider == OWN_AGENT) & (c("sa_code") == c("wa_code")), "Original Agent")
-        .when(provider == OWN_AGENT, "Reassigned Agent")
-        .when(provider == COLLECTOR, "Orphaned-Collector")
-        .when(provider.isin(MANAGERS), "Orphaned-Agent is SM")
-        .otherwise("Unknown")
-    )
+    serving = bands.map_codes(c("sa_comp_prvd_num"), RELATION)
+    own = serving == RELATION[OWN_AGENT]
+    relation = F.when(c("sa_trmn_dt").isNotNull(), "Orphaned").when(own & (c("sa_code") != c("wa_code")), "Reassigned Agent").otherwise(serving)
     return rows.select("pol_num", "po_num", relation.alias("cus_agt_rltnshp"))
 
 
@@ -489,7 +487,7 @@ def client_level(
     products: Mapping[str, str] = PRODUCTS,
     long_years: int = 10,
 ) -> DataFrame:
-    """One wide row per agency customer.
+    """One wide row per agency customer. Incomes are converted once, here; `rate` gives local currency.
 
     Coverages shrink to policies once (written to the shared folder), policies to owners once; the
     other inputs are one row per owner and join on the owner.
@@ -514,7 +512,7 @@ def client_level(
     types = product_types(t, snapshot)
     agency = customer_channel(policies).filter(c("channel_final") == "Agency")
     people = t["client"].select(
-        c("cli_num").alias("po_num"), "mthly_incm", "customer_segment", "cur_age", "sex_code", "no_dpnd", "city_cd"
+        c("cli_num").alias("po_num"), (c("mthly_incm") / rate).alias("mthly_incm"), "customer_segment", "cur_age", "sex_code", "no_dpnd", "city_cd"
     )
     first_two = first_second_product(t).select("po_num", "ins_typ_desc_1", "ins_typ_desc_2", "tot_ape_1", "yr_2nd_prod")
     digital = digital_activity(t, digital_cutoff).withColumnRenamed("cli_num", "po_num")
@@ -538,7 +536,7 @@ def client_level(
             **{f"f_{n}_pol": bands.flag(f"{n}_pol > 0") for n in products},
             **{f"f_{o}_{n}": bands.flag(f"{col} = {v!r}") for o, col in ordinal.items() for n, v in products.items()},
             "vip": F.coalesce(vip_label(c("coverage_ape"), c("long_pol_cnt")), F.lit("none")),
-            "top1_3_lapse": bands.flag("early_lapse_decile < 4"),
+            "top1_3_lapse": bands.flag("lapse_decile < 4"),
             "move_reg": bands.flag("activation_date is not null"),
             "move_tenure_days": F.datediff(cut, "activation_date"),
             "move_last_log_days": F.datediff(cut, "lst_login_dt"),
@@ -561,14 +559,14 @@ def owner_claims(t: Frames, snapshot: str, rate: Column) -> DataFrame:
     """Approved claims of 6 and 12 months per policy, then per owner; last date and its amount."""
     snap = day(snapshot)
     rows = t["claim"].filter(
-        (c("clm_recv_dt") <= snap) & (c("clm_stat_code") == "A") & c("clm_code").isin(CLAIM_CODES)
+        (c("clm_aprov_dt") <= snap) & (c("clm_stat_code") == "A") & c("clm_code").isin(CLAIM_CODES)
     )
-    within = {m: c("clm_recv_dt") >= F.add_months(snap, -m) for m in (6, 12)}
+    within = {m: c("clm_aprov_dt") >= F.add_months(snap, -m) for m in (6, 12)}
     amount = money.exact(c("clm_aprov_amt"), 4)
     per_policy = rows.groupBy("pol_num").agg(
         *[F.count(F.when(w, c("clm_id"))).alias(f"n_{m}") for m, w in within.items()],
         *[F.sum(F.when(w, amount)).alias(f"amt_{m}") for m, w in within.items()],
-        F.max(F.struct("clm_recv_dt", amount.alias("amt"))).alias("last"),
+        F.max(F.struct("clm_aprov_dt", amount.alias("amt"))).alias("last"),
     )
     owned = t["policy"].filter(k.sold()).select("pol_num", "po_num")
     per_owner = owned.join(per_policy, "pol_num").groupBy("po_num").agg(
@@ -580,6 +578,6 @@ def owner_claims(t: Frames, snapshot: str, rate: Column) -> DataFrame:
         "po_num", "clm_6m_cnt", "clm_12m_cnt",
         (c("clm_6m_amt") / rate).alias("clm_6m_amt"),
         (c("clm_12m_amt") / rate).alias("clm_12m_amt"),
-        c("last.clm_recv_dt").alias("clm_lst_dt"),
+        c("last.clm_aprov_dt").alias("clm_lst_dt"),
         c("last.amt").cast("double").alias("clm_lst_amt"),
     )

@@ -95,14 +95,14 @@ def income_frame(level: DataFrame) -> DataFrame:
     frame = protection_gap(income_deciles(level))
     return frame.withColumns(
         {
-            "vn_income_class": income_class(c("mthly_incm_99")),
+            "local_income_class": income_class(c("mthly_incm_99")),
             "vip_income_class": vip_income_class(c("adj_mthly_incm")),
         }
     ).withColumn("income_segment", bands.map_codes(c("vip_income_class"), SEGMENT_OF_CLASS, "6 No/Missing Income"))
 
 
 def income_class_pyramid(frame: DataFrame) -> DataFrame:
-    return agg.crosstab_counts(frame, ["income_decile", "vn_income_class"])
+    return agg.crosstab_counts(frame, ["income_decile", "local_income_class"])
 
 
 def income_segments(frame: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -15,12 +16,12 @@ _LOCAL_DIRS: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named in `spark.checkpoint.dir`.
 
-    Where it is unset a local session gets a temporary folder of its own; a cluster session is
-    refused, because a folder of one machine is lost with that machine.
+    Where it is unset a session that runs in this process alone gets a temporary folder of its own;
+    any other is refused, because executors cannot see a folder of one machine.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         app = spark.sparkContext.applicationId
         named = _LOCAL_DIRS.setdefault(app, "") or tempfile.mkdtemp(prefix="tierline-")
@@ -56,12 +57,24 @@ def write_partitions(df: DataFrame, path: str, part_cols: Iterable[str]) -> None
     )
 
 
+_OVERWRITE = "spark.sql.sources.partitionOverwriteMode"
+
+
 def save_table(df: DataFrame, name: str, part_cols: Iterable[str], path: str | None = None) -> None:
-    cols = list(part_cols)
-    writer = df.hint("rebalance", *cols).write.mode("overwrite").partitionBy(*cols)
-    if path:
-        writer = writer.option("path", path)
-    writer.saveAsTable(name)
+    """Write to a partitioned table of the catalog. The first write creates it; a later one replaces
+    the partitions that occur in `df` and keeps the others. Columns go by name."""
+    spark, cols = df.sparkSession, list(part_cols)
+    spread = df.hint("rebalance", *cols)
+    if not spark.catalog.tableExists(name):
+        writer = spread.write.partitionBy(*cols)
+        (writer.option("path", path) if path else writer).saveAsTable(name)
+        return
+    before = spark.conf.get(_OVERWRITE)
+    spark.conf.set(_OVERWRITE, "dynamic")
+    try:
+        spread.select(spark.table(name).columns).write.insertInto(name, overwrite=True)
+    finally:
+        spark.conf.set(_OVERWRITE, before)
 
 
 def export_csv(df: DataFrame, path: str) -> None:

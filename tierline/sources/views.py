@@ -46,7 +46,7 @@ select n_nationkey as loc_cd, n_name as city, r_name as region,
        case when n_nationkey % 5 <> 1 then concat('L2_', n_name) end as manager_name_2
 from {nation} join {region} on n_regionkey = r_regionkey""",
     "client": """
-select c_custkey as cli_num, c_name as cli_nm, case when c_acctbal < 0 then null else c_acctbal end as mthly_incm,
+select c_custkey as cli_num, c_name as cli_nm, case when c_acctbal < 0 then null else c_acctbal * 23 end as mthly_incm,
        c_mktsegment as customer_segment, c_nationkey as city_cd, cast(18 + c_custkey % 60 as int) as cur_age,
        case when c_custkey % 2 = 0 then 'F' else 'M' end as sex_code,
        case when c_custkey % 3 = 0 then cast(c_custkey % 5 as int) end as no_dpnd,
@@ -103,11 +103,12 @@ from (select p_partkey as plan_code, p_size, {EXPLODE} as effective_date
     "claim": """
 select l_orderkey as pol_num, l_orderkey * 10 + l_linenumber as clm_id,
        case l_returnflag when 'A' then 'A' when 'R' then 'I' else 'D' end as clm_stat_code,
-       cast(l_shipdate as date) as clm_recv_dt, l_extendedprice as clm_prvd_amt,
+       cast(l_shipdate as date) as clm_recv_dt, cast(l_shipdate as date) + cast(l_orderkey % 75 as int) as clm_aprov_dt,
+       l_extendedprice as clm_prvd_amt,
        l_extendedprice * (1 - l_discount) as clm_aprov_amt, cast(l_partkey % 60 as int) as clm_code
 from {lineitem}""",
     "lapse": """
-select l_orderkey as pol_num, max(l_discount) + 0.0e0 as lapse_score
+select l_orderkey as pol_num, max(l_discount) + 0.0e0 as lapse_score, cast(1 + l_orderkey * 3 % 10 as int) as next_due_decile
 from {lineitem} where l_orderkey % 3 = 0 group by l_orderkey""",
     "early_lapse": """
 select o_orderkey as pol_num, (o_orderkey * 11 % 100) / 100.0e0 as p_1, cast(1 + o_orderkey % 10 as int) as decile
@@ -162,12 +163,9 @@ class Tables(Mapping):
         return self._built[name]
 
     def _read(self, name: str) -> DataFrame:
-        """A fact table kept as one file is read by one task, and joins with broadcast sides would
-        stay in that task. Only such a table is spread by its key; a table of many files is not."""
+        """Fact tables are spread by their join key, as tables bucketed by it are."""
         df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        if name in FACT_KEYS and len(df.inputFiles()) == 1:
-            return df.repartition(FACT_KEYS[name])
-        return df
+        return df.repartition(FACT_KEYS[name]) if name in FACT_KEYS else df
 
     def __iter__(self) -> Iterator[str]:
         return iter([*BASE_TABLES, *VIEW_SQL])
