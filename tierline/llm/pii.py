@@ -30,6 +30,7 @@ _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
 # A match that fails from the first digit of a run fails from the later ones too.
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
+_IP_CORE = re.compile(r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
@@ -51,6 +52,8 @@ def emails(text: str) -> Iterator[Span]:
 
 
 def ips(text: str) -> Iterator[Span]:
+    if not _IP_CORE.search(text):
+        return
     for m in _IP.finditer(text):
         if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
             yield m.span()
@@ -126,11 +129,11 @@ _SPELLED_RUN = re.compile(
     re.IGNORECASE,
 )
 _SPELLED_PART = re.compile(rf"plus|dot|point|{'|'.join(sorted(SPELLED, key=len, reverse=True))}", re.IGNORECASE)
-_SUSPECT = re.compile(
-    rf"[\[({{<][ \t]*(?:{_AT}|{_DOT}|@|\.)[ \t]*[\])}}>]| (?:{_AT}) [A-Za-z0-9-]+ (?:{_DOT}) |@[A-Za-z0-9-]+ (?:{_DOT}) "
-    rf"|(?:(?:{'|'.join(sorted(SPELLED, key=len, reverse=True))})[ ,.-]+){{4}}",
-    re.IGNORECASE,
-)
+# Signs of disguise, looked for in lower case; most texts show none and are done with one pass of each.
+_ANY_DIGIT = "|".join(sorted(SPELLED, key=len, reverse=True))
+_BRACKET_SIGN = re.compile(rf"[\[({{<][ \t]*(?:{_AT}|{_DOT}|@|\.)[ \t]*[\])}}>]")
+_WORD_SIGNS = tuple(f" {w} " for w in _DOT.split("|"))
+_DIGIT_SIGN = re.compile(rf"\b(?:{_ANY_DIGIT})[ ,.-]+(?:{_ANY_DIGIT})[ ,.-]+(?:{_ANY_DIGIT})[ ,.-]+")
 _FOREIGN = re.compile("[^\x00-ɏ‘-‟…€]")
 
 Marked = list[tuple[str, int, int]]
@@ -198,11 +201,18 @@ def disguised_spans(text: str) -> dict[str, list[Span]]:
     return {k: [(marked[a][1], marked[b - 1][2]) for a, b in v] for k, v in found.items()}
 
 
+def suspicious(text: str) -> bool:
+    if not text.isascii() and _FOREIGN.search(text):
+        return True
+    low = text.lower()
+    return bool(_BRACKET_SIGN.search(low) or any(w in low for w in _WORD_SIGNS) or _DIGIT_SIGN.search(low))
+
+
 def find(text: str | None) -> tuple[dict[str, list[Span]], dict[str, list[Span]]]:
     """Plain spans and all spans by kind; those added overlap no plain span of any kind and no other added."""
     text = text or ""
     base = plain_spans(text)
-    if not (_FOREIGN.search(text) or _SUSPECT.search(text)):
+    if not suspicious(text):
         return base, base
     taken = sorted(s for v in base.values() for s in v)
     every = {k: list(v) for k, v in base.items()}
