@@ -211,7 +211,9 @@ def percentiles(
         aggs.append(F.max(at - F.floor(at)).alias(f"_part_{name}"))
     picked = both.groupBy(*group).agg(*aggs)
     values = [
-        (F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_part_{n}")).alias(n)
+        F.when(F.col(f"_part_{n}") == 0, F.col(f"_lo_{n}"))
+        .otherwise((1 - F.col(f"_part_{n}")) * F.col(f"_lo_{n}") + F.col(f"_part_{n}") * F.col(f"_hi_{n}"))
+        .alias(n)
         for n in shares
     ]
     if group:
