@@ -3,6 +3,8 @@ tests check order, sizes and repeatability."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tierline.catalog.base import query
 from tierline.catalog.customer_checks import client_level
 from tierline.plans import cluster as C
@@ -30,12 +32,17 @@ def _(t):
     return C.cluster_profiles(people, C.customer_clusters(people, *C.fit_clusters(people)))
 
 
-@query("save_load_model")
+@query("save_load_model", "select count(*) as customers, 0 as moved from client_level")
 def _(t):
+    """Customers, and how many of them a model that was saved and loaded puts elsewhere."""
     people = level(t)
     path = fresh_path(t.spark, "model")
-    C.save_model(*C.fit_clusters(people), path)
-    return C.customer_clusters(people, *C.load_model(t.spark, path))
+    prep, model = C.fit_clusters(people)
+    C.save_model(prep, model, path)
+    before = C.customer_clusters(people, prep, model).withColumnRenamed("clusters", "before")
+    both = before.join(C.customer_clusters(people, *C.load_model(t.spark, path)), "po_num", "full")
+    moved = F.coalesce(F.sum((~F.col("before").eqNullSafe(F.col("clusters"))).cast("int")), F.lit(0))
+    return both.agg(F.count("*").alias("customers"), moved.alias("moved"))
 
 
 @query("score_all_segments")

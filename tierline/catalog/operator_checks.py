@@ -1168,7 +1168,10 @@ def _(t):
     return t["client"].select("cli_num", M.inflate(c("mthly_incm"), c("cur_age") / 10.0).alias("adj"))
 
 
-@query("sample_rows")
+@query(
+    "sample_rows",
+    "select cli_num from client where cast('0x' || substr(md5('123:' || cli_num), 1, 5) as int) < 0.3 * 1048576",
+)
 def _(t):
     from tierline.plans.cluster import sample_rows
 

@@ -406,11 +406,13 @@ def agent_claims(t: Frames, snapshot: str) -> DataFrame:
     Rows are merged per agent and claim before the agent is summed.
     """
     snap = day(snapshot)
-    rows = t["claim"].filter(c("clm_recv_dt").between(F.add_months(snap, -36), snap)).distinct()
+    recent = t["claim"].filter(c("clm_recv_dt").between(F.add_months(snap, -36), snap))
+    rows = recent.select("pol_num", "clm_id", "clm_recv_dt", "clm_stat_code", "clm_prvd_amt", "clm_aprov_amt")
     approved = c("clm_stat_code") == "A"
     open_1y = (c("clm_stat_code") == "I") & (c("clm_recv_dt") >= F.add_months(snap, -12))
     per_claim = (
         rows.join(base_policies(t, snapshot), "pol_num")
+        .distinct()
         .groupBy("agt_cd", "clm_id")
         .agg(
             F.sum(money.exact(c("clm_prvd_amt"))).alias("amt"),

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tierline.functions import bands, dates, money
@@ -15,6 +15,7 @@ from tierline.operators import aggregates as agg
 from tierline.operators import joins, ordered, ranking
 from tierline.plans.common import Frames, day
 from tierline.plans.customers import INCOME_CAP
+from tierline.sources.sink import stage
 
 c = F.col
 
@@ -164,8 +165,10 @@ def top_n_profiles(frame: DataFrame, sizes: Sequence[int] = (100, 250, 500)) ->
     """
     order = [("adj_mthly_incm", "desc"), ("po_num", "asc")]
     vip = frame.filter(c("income_segment") == "1 VIP")
+    place = F.row_number().over(Window.orderBy(c("adj_mthly_incm").desc(), "po_num"))
+    longest = stage(ranking.top_n(vip, order, max(sizes)).withColumn("_place", place), "top_n")
     parts = [
-        agg.profile_total(ranking.top_n(vip, order, n), PROFILE).select(F.lit(n).alias("top_n"), "*") for n in sizes
+        agg.profile_total(longest.filter(c("_place") <= n), PROFILE).select(F.lit(n).alias("top_n"), "*") for n in sizes
     ]
     out = parts[0]
     for part in parts[1:]:
