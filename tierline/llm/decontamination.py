@@ -130,6 +130,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits()) ->
     found = hits.select("doc_id", "text_hash", "marked", F.explode("hits").alias("hit")).select(
         "doc_id", "text_hash", "hit.pos", "hit.hash", _slots(_words(F.col("marked")), F.col("hit.pos"), k).alias("own")
     )
+    found = stage(found, "window-hits")  # few rows, read twice below
     paired = found.join(asked, "hash").select(
         "doc_id", "text_hash", "item_id", "item_windows", "at", (F.col("pos") - F.col("at")).alias("shift"),
         F.filter(
