@@ -42,7 +42,7 @@ class Rule:
     num: int = 80
     den: int = 100
     #: Part of a set, in hundredths, that its prefix is longer than one shared token needs.
-    extra: int = 5
+    extra: int = 10
     #: Members of a block, and shingles in it.
     block_members: int = 1024
     block_shingles: int = 1 << 20
@@ -315,7 +315,11 @@ def _link(rule: Rule):
     return run
 
 
-def _edges(rule: Rule, jobs: DataFrame, sets: DataFrame) -> DataFrame:
+def _edges(rule: Rule, jobs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Edges of all blocks (hub, block, sig). Sets are drawn from the texts again and go to their blocks."""
+    spark = jobs.sparkSession
+    wanted = spark.sparkContext.broadcast(bitmap(jobs, "sig"))
+    sets = texts.mapInArrow(_sets(rule, wanted), "sig long, members binary").dropDuplicates(["sig"])
     return (
         jobs.select("hub", "block", "sig")
         .distinct()
@@ -407,18 +411,11 @@ def ngram_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
         .mapInArrow(_skip(rule), "hub long, block long, blocks long, sig long, n long, pos long"),
         "jobs",
     )
-    wanted = spark.sparkContext.broadcast(bitmap(jobs, "sig"))
-    sets = stage(
-        texts.mapInArrow(_sets(rule, wanted), "sig long, members binary")
-        .join(jobs.select("sig").distinct(), "sig", "left_semi")
-        .dropDuplicates(["sig"]),
-        "sets",
-    )
-    edges = stage(_edges(rule, jobs, sets), "links")
+    edges = stage(_edges(rule, jobs, texts), "links")
     comps = components(edges)
     if not blocks.where("blocks > 1").isEmpty():
         comps = stage(comps, "components")
-        more = _edges(rule, _across(rule, blocks, comps), sets)
+        more = _edges(rule, stage(_across(rule, blocks, comps), "across"), texts)
         comps = components(stage(edges.union(more), "links"))
     described = described.where("block is null").select("doc_id", "n", "sig")
     least = (
