@@ -44,14 +44,17 @@ class Limits:
 
 def _marked(text: Column) -> Column:
     """The text with slots as single words: OPEN, n or p, the value. Punctuation is gone."""
-    out = F.translate(F.coalesce(text.cast("string"), F.lit("")), OPEN + BLANK, "  ")
-    # a name: a capitalised word that begins neither a sentence nor a line
-    out = F.regexp_replace(out, r"(?<=[\p{L}\p{N},;:)] )(\p{Lu}[\p{L}\p{N}’'-]*)", OPEN + "p$1")
-    out = F.regexp_replace(
+    out = F.coalesce(text.cast("string"), F.lit(""))
+    out = F.when(out.contains(OPEN) | out.contains(BLANK), F.translate(out, OPEN + BLANK, "  ")).otherwise(out)
+    # a name: a capitalised word that begins neither a sentence nor a line; looking ahead first makes most
+    # places fail at once
+    out = F.regexp_replace(out, r"(?=\p{Lu})(?<=[\p{L}\p{N},;:)] )(\p{Lu}[\p{L}\p{N}’'-]*)", OPEN + "p$1")
+    numbers = F.regexp_replace(
         out,
-        rf"(?<![\p{{L}}\p{{N}}{OPEN}])([$€£]?[+-]?\p{{Nd}}[\p{{Nd}}.,:/]*)(?: ?((?i:{UNITS})|%)(?![\p{{L}}\p{{N}}]))?",
+        rf"(?=[$€£+\-\p{{Nd}}])(?<![\p{{L}}\p{{N}}{OPEN}])([$€£]?[+-]?\p{{Nd}}[\p{{Nd}}.,:/]*)(?: ?((?i:{UNITS})|%)(?![\p{{L}}\p{{N}}]))?",
         f"{OPEN}n$1{BLANK}$2",
     )
+    out = F.when(text.cast("string").rlike(r"\p{Nd}"), numbers).otherwise(out)
     return F.regexp_replace(out, rf"[^\p{{L}}\p{{N}}{OPEN}{BLANK}\s]+", "")
 
 
@@ -60,7 +63,7 @@ def _words(text: Column) -> Column:
 
 
 def _template(marked: Column) -> Column:
-    return F.lower(F.regexp_replace(marked, rf"({OPEN}[np])\S*", "$1"))
+    return F.lower(F.when(marked.contains(OPEN), F.regexp_replace(marked, rf"({OPEN}[np])\S*", "$1")).otherwise(marked))
 
 
 def _held(df: DataFrame, name: str, value: Column) -> DataFrame:
