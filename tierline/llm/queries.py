@@ -75,3 +75,14 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
+
+
+SQL["op8_warc"] = """
+select page_id, strlen(h) as payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           1 + ((('0x' || substr(x, (i // 4) * 5 + 1, 5))::int >> (15 - 5 * (i % 4))::int) & 31)::int, 1) for i in range(0, 32)], '') as payload_digest,
+       case when page_id < latest then 'revisit' else 'response' end as record_type,
+       case when page_id < latest then latest end as refers_to
+from (select page_id, h, sha1(h) as x, max(page_id) over (partition by h) as latest
+      from (select page_id, coalesce(html, '') as h from pages) p) q
+"""
