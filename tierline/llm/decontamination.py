@@ -9,6 +9,10 @@ while a text that shares sentence forms only is not.
 
 Before the join a document's windows pass a filter of a fixed number of bits made of the benchmark's windows,
 so that hardly any but matching ones are shuffled, and the benchmark is never broadcast as a whole.
+
+`matches` takes names by their place and windows of one size. `contaminated`, which the queries use, adds what
+that cannot see: `folded_matches` looks neither at case nor at spacing nor at place. There a word is literal if
+the benchmark has it in lower case; any other word, in a question or a document, is a slot.
 """
 
 from __future__ import annotations
@@ -165,8 +169,163 @@ def matches(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits()) ->
     )
 
 
+#: Template words that stand for the slots of folded texts: a word that is not literal, a number.
+WORD, NUMBER = 1, 2
+
+
+def _folded_words(text: Column) -> Column:
+    """Words without punctuation, in their own case; a number with its unit is one word that begins with OPEN.
+    White space of any kind and length parts words, also a number from its unit. A sign of arithmetic between
+    two numbers is a word."""
+    out = F.translate(F.coalesce(text.cast("string"), F.lit("")), OPEN + BLANK, "  ")
+    numbers = F.regexp_replace(
+        out,
+        rf"(?=[$€£+\-\p{{Nd}}])(?<![\p{{L}}\p{{N}}{OPEN}])([$€£]?[+-]?\p{{Nd}}[\p{{Nd}}.,:/]*)(?:[\s\p{{Z}}]*+((?i:{UNITS})|%)(?![\p{{L}}\p{{N}}]))?",
+        f"{OPEN}n$1{BLANK}$2",
+    )
+    out = F.when(out.rlike(r"\p{Nd}"), numbers).otherwise(out)
+    kept = rf"\p{{L}}\p{{N}}{OPEN}{BLANK}\s\p{{Z}}"
+    out = F.regexp_replace(out, rf"[^{kept}]++(?<!{BLANK}[\s\p{{Z}}][+*/=×÷^-](?=[\s\p{{Z}}]{OPEN}))", "")
+    return F.array_remove(F.split(out, r"[\s\p{Z}]+"), "")
+
+
+def _folded(df: DataFrame, bits: Column) -> DataFrame:
+    """`df` (words, in lower case) with `template`: a number for each word. `bits`: filter of the literal words."""
+
+    def one(w: Column) -> Column:
+        h = F.xxhash64(w)
+        return F.when(w.startswith(OPEN), F.lit(NUMBER).cast("long")).when(_passes(h), h).otherwise(F.lit(WORD).cast("long"))
+
+    return _held(df.withColumn("bits", bits), "template", F.transform("words", one)).drop("bits")
+
+
+def _passes(h: Column) -> Column:
+    """Whether the filter in the column `bits` has the hash."""
+    word = F.get("bits", F.shiftright(h.bitwiseAND(64 * FILTER_WORDS - 1), 6).cast("int"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))
+    return word.bitwiseAND(bit) != 0
+
+
+def _is_slot(t: Column) -> Column:
+    return (t == WORD) | (t == NUMBER)
+
+
+def _key(hash: Column, k: Column, n_literal: Column, words: Column, limits: Limits) -> tuple[Column, Column]:
+    """What a window is joined by, and whether it is rich: has the literal words that let its slots vary. Others
+    must be the same to the word."""
+    rich = n_literal >= F.round(k * limits.literal / limits.window)
+    return F.when(rich, hash).otherwise(F.xxhash64(hash, words)), rich
+
+
+def folded_questions(benchmark: DataFrame, limits: Limits = Limits()) -> tuple[DataFrame, DataFrame]:
+    """The literal words of `benchmark` (hash), and (item_id, k, at, template_hash, hash, rich, slots,
+    item_windows, rich_windows) of all windows of k words of each question."""
+    asked = benchmark.select(F.col("item_id").cast("long").alias("item_id"), _folded_words(F.col("text")).alias("words"))
+    asked = stage(asked.where(F.size("words") > 0).distinct(), "folded-questions")
+    lower = lambda w: (F.lower(w) == w) & ~w.startswith(OPEN)
+    literal = F.when(F.exists("words", lower), F.filter("words", lower)).otherwise(F.filter("words", lambda w: ~w.startswith(OPEN)))
+    vocabulary = asked.select(F.explode(F.transform(literal, lambda w: F.xxhash64(F.lower(w)))).alias("hash")).distinct()
+
+    words = asked.select("item_id", F.transform("words", lambda w: F.lower(w)).alias("words"))
+    rows = _folded(words, _filter_bits(vocabulary)).withColumn("k", F.lit(limits.window))
+    rows = rows.withColumn("at", F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - F.col("k"), F.lit(0)))))
+    rows = rows.where(F.size("words") >= F.col("k"))
+    part = F.slice("template", F.col("at") + 1, F.col("k"))
+    own = F.slice("words", F.col("at") + 1, F.col("k"))
+    rows = rows.select("item_id", "k", "at", part.alias("part"), own.alias("own"))
+    hash, n_literal = F.xxhash64("part"), F.size(F.filter("part", lambda t: ~_is_slot(t)))
+    key, rich = _key(hash, F.col("k"), n_literal, F.col("own"), limits)
+    slots = F.zip_with("part", "own", lambda t, w: F.when(_is_slot(t), w))
+    rows = rows.select("item_id", "k", "at", hash.alias("template_hash"), key.alias("hash"), rich.alias("rich"), slots.alias("slots"))
+    count = rows.groupBy("item_id").agg(
+        F.countDistinct("at").alias("item_windows"), F.countDistinct(F.when(F.col("rich"), F.col("at"))).alias("rich_windows")
+    )
+    return vocabulary, rows.distinct().join(count, "item_id")
+
+
+def folded_matches(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """As `matches`, without regard to case, spacing and the place of names. Of an occurrence whose slots are
+    not consistent the windows count that are the same to the word. The limit is reached by the share of all
+    windows of the question or of its rich ones."""
+    vocabulary, asked = folded_questions(benchmark, limits)
+    asked = stage(asked, "folded-windows")
+    sizes = sorted(r["k"] for r in asked.select("k").distinct().collect())
+    text = F.col("text").cast("string")
+    prepared = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), _folded_words(F.lower(text)).alias("words")
+    )
+    rows = _folded(_held(prepared, "held", F.col("words")).drop("words").withColumnRenamed("held", "words"), _filter_bits(vocabulary))
+    for k in sizes:
+        count = F.size("template") - k + 1
+        every = F.transform(F.sequence(F.lit(1), count), lambda i: F.xxhash64(F.slice("template", i, k)))
+        rows = _held(rows, f"windows_{k}", F.when(count > 0, every).otherwise(F.array().cast("array<bigint>")))
+    rows = rows.withColumn("bits", _filter_bits(asked.select(F.col("template_hash").alias("hash")).distinct()))
+
+    def hits(k: int) -> Column:
+        def one(h: Column, i: Column) -> Column:
+            n_literal = F.size(F.filter(F.slice("template", i + 1, k), lambda t: ~_is_slot(t)))
+            found = F.struct(F.lit(k).alias("k"), i.alias("pos"), h.alias("hash"), n_literal.alias("n_literal"), F.slice("words", i + 1, k).alias("own"))
+            return F.when(_passes(h), found)
+
+        return F.filter(F.transform(f"windows_{k}", one), lambda x: x.isNotNull())
+
+    if not sizes:
+        rows, sizes = rows.withColumn("windows_1", F.array().cast("array<bigint>")), [1]
+    found = rows.select("doc_id", "text_hash", F.explode(F.concat(*(hits(k) for k in sizes))).alias("hit")).select("doc_id", "text_hash", "hit.*")
+    key, _ = _key(F.col("hash"), F.col("k"), F.col("n_literal"), F.col("own"), limits)
+    found = found.select("doc_id", "text_hash", "k", "pos", "own", key.alias("hash"))
+    found = found.withColumn("bits", _filter_bits(asked.select("hash").distinct())).where(_passes(F.col("hash"))).drop("bits")
+
+    pairs = F.filter(F.zip_with("slots", "own", lambda q, d: F.struct(q.alias("q"), d.alias("d"))), lambda x: x["q"].isNotNull())
+    question = ["item_id", "k", "item_windows", "rich_windows"]
+    occurrence = ["doc_id", "text_hash", *question, "shift"]
+    paired = found.join(asked, ["k", "hash"]).select(
+        "doc_id", "text_hash", *question, (F.col("pos") - F.col("at")).alias("shift"), "at", "rich", pairs.alias("pairs")
+    )
+    same = F.forall("pairs", lambda x: x["q"] == x["d"])
+    # an occurrence has no more windows than its question
+    held = paired.groupBy(*occurrence).agg(
+        F.collect_set(F.struct("at", "rich", same.alias("same"))).alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
+    )
+    distinct = lambda name: F.size(F.array_distinct(F.transform("pairs", lambda p: p[name])))
+    consistent = (F.size("pairs") == distinct("q")) & (F.size("pairs") == distinct("d"))
+    kept = F.when(consistent, F.col("places")).otherwise(F.filter("places", lambda x: x["same"]))
+    # the windows of all occurrences count together
+    lanes = F.array(F.lit(0))
+    at = F.collect_set(F.struct("place.at", "place.rich")).alias("at")
+    counted = (
+        held.select(*occurrence, F.size("pairs").alias("n_slots"), kept.alias("kept"))
+        .select("*", F.explode(lanes).alias("lane"))
+        .select("*", F.explode("kept").alias("place"))
+        .groupBy("doc_id", "text_hash", *question, "lane")
+        .agg(at, F.max("n_slots").alias("n_slots"))
+        .select("*", F.size("at").alias("n_windows"), F.size(F.filter("at", lambda x: x["rich"])).alias("n_rich"))
+    )
+    return (
+        counted.where(_reached(limits))
+        .groupBy("doc_id", "text_hash", "item_id")
+        .agg(F.max(F.struct(F.col("n_windows").cast("long").alias("n_windows"), "item_windows", "n_slots")).alias("most"))
+        .select("doc_id", "text_hash", "item_id", "most.*")
+    )
+
+
+def _reached(limits: Limits) -> Column:
+    return F.expr(
+        f"100 * n_windows >= {limits.share} * item_windows or n_rich >= {limits.enough}"
+        f" or (n_rich > 0 and 100 * n_rich >= {limits.share} * rich_windows)"
+    )
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """The columns of `matches` for each document and question that `matches` or `folded_matches` finds, with
+    the figures of the one that counts more windows."""
+    every = matches(docs, benchmark, limits).unionByName(folded_matches(docs, benchmark, limits))
+    most = F.max(F.struct("n_windows", "item_windows", "n_slots")).alias("most")
+    return every.groupBy("doc_id", "text_hash", "item_id").agg(most).select("doc_id", "text_hash", "item_id", "most.*")
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """The rows of `docs` that hold no question."""
-    gone = matches(docs, benchmark, limits).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    gone = contaminated(docs, benchmark, limits).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_hash"))
     return docs.join(gone, same, "left_anti")

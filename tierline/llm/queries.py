@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tierline.llm.common import table
-from tierline.llm.decontamination import matches
+from tierline.llm.decontamination import contaminated
 from tierline.llm.html_text import extract
 from tierline.llm.language import languages
 from tierline.llm.mixing import mix
@@ -69,7 +69,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 @_query
