@@ -16,8 +16,23 @@ def found(spark, texts, items):
 def test_case_spacing_and_place_do_not_hide_a_copy(spark):
     other = SALES.replace("Tom", "Steve").replace("Mary", "Julia").replace("5", "7").replace("3", "9")
     texts = [
-        TRAIN.upper(), TRAIN.lower(), TRAIN.replace(" ", "  "), TRAIN.replace(" ", "\n"), TRAIN.replace(" ", " "),
+        TRAIN.upper(), TRAIN.lower(), TRAIN.replace(" ", "  "), TRAIN.replace(" ", "\n"), TRAIN.replace(" ", "\u00a0"),
         other, other.upper(), "nothing to see here " * 10,
     ]
     got = found(spark, texts, [TRAIN, SALES, FILLER])
     assert got == {(i, 0) for i in range(5)} | {(5, 1), (6, 1)}
+
+
+def test_short_questions_and_one_changed_word(spark):
+    words = "we ask how far the small boat could go along that wide river before its crew must turn back for more bread and some clean water".split()
+    items = ["what is 12 + 7 * 3", "who wrote it", "17 + 4", "Tom has 5 apples now", *(" ".join(words[:n]) for n in range(8, 25))]
+    texts = [f"Before. {t} after it" for t in items]
+    want = {(i, i) for i in range(4)}
+    for n in range(8, 25):
+        for at in range(n):
+            want.add((len(texts), n - 4))
+            texts.append("Before. " + " ".join([*words[:at], "changed", *words[at + 1 : n]]) + " after it")
+    texts += ["what is 12 + 7 * 4", "what is 12 + 7 - 3", "who wrote that", "17 - 4", "Bob has 6 apples now", "it is a small boat and a wide river, and some water"]
+    got = found(spark, texts, items)
+    assert want <= got
+    assert not any(d >= len(texts) - 6 for d, _ in got)

@@ -173,6 +173,20 @@ def matches(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits()) ->
 WORD, NUMBER = 1, 2
 
 
+#: Sizes of windows by the words of the question: one changed word leaves the share of the windows in any
+#: question of 8 words or more. A question of fewer words is one window.
+SHORT = ((13, 3), (21, 5))
+#: So many rich windows at least let the slots of a question with such windows vary.
+LEAST_RICH = 3
+
+
+def _window_size(n_words: Column, limits: Limits) -> Column:
+    size = F.when(n_words < limits.window, n_words)
+    for below, k in SHORT:
+        size = size.when(n_words < below, min(k, limits.window))
+    return size.otherwise(limits.window)
+
+
 def _folded_words(text: Column) -> Column:
     """Words without punctuation, in their own case; a number with its unit is one word that begins with OPEN.
     White space of any kind and length parts words, also a number from its unit. A sign of arithmetic between
@@ -212,8 +226,9 @@ def _is_slot(t: Column) -> Column:
 
 def _key(hash: Column, k: Column, n_literal: Column, words: Column, limits: Limits) -> tuple[Column, Column]:
     """What a window is joined by, and whether it is rich: has the literal words that let its slots vary. Others
-    must be the same to the word."""
-    rich = n_literal >= F.round(k * limits.literal / limits.window)
+    must be the same to the word, so that a short or number-heavy question matches where it is repeated."""
+    short = F.when(k.isin([k for _, k in SHORT]), F.round(k * limits.literal / limits.window))
+    rich = n_literal >= F.coalesce(short, F.lit(limits.literal))
     return F.when(rich, hash).otherwise(F.xxhash64(hash, words)), rich
 
 
@@ -227,9 +242,8 @@ def folded_questions(benchmark: DataFrame, limits: Limits = Limits()) -> tuple[D
     vocabulary = asked.select(F.explode(F.transform(literal, lambda w: F.xxhash64(F.lower(w)))).alias("hash")).distinct()
 
     words = asked.select("item_id", F.transform("words", lambda w: F.lower(w)).alias("words"))
-    rows = _folded(words, _filter_bits(vocabulary)).withColumn("k", F.lit(limits.window))
-    rows = rows.withColumn("at", F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - F.col("k"), F.lit(0)))))
-    rows = rows.where(F.size("words") >= F.col("k"))
+    rows = _folded(words, _filter_bits(vocabulary)).withColumn("k", _window_size(F.size("words"), limits))
+    rows = rows.withColumn("at", F.explode(F.sequence(F.lit(0), F.size("words") - F.col("k"))))
     part = F.slice("template", F.col("at") + 1, F.col("k"))
     own = F.slice("words", F.col("at") + 1, F.col("k"))
     rows = rows.select("item_id", "k", "at", part.alias("part"), own.alias("own"))
@@ -244,7 +258,7 @@ def folded_questions(benchmark: DataFrame, limits: Limits = Limits()) -> tuple[D
 
 
 def folded_matches(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """As `matches`, without regard to case, spacing and the place of names. Of an occurrence whose slots are
+    """As `matches`, without regard to case, spacing and the place of names, and for questions of any length. Of an occurrence whose slots are
     not consistent the windows count that are the same to the word. The limit is reached by the share of all
     windows of the question or of its rich ones."""
     vocabulary, asked = folded_questions(benchmark, limits)
@@ -283,6 +297,8 @@ def folded_matches(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limit
         "doc_id", "text_hash", *question, (F.col("pos") - F.col("at")).alias("shift"), "at", "rich", pairs.alias("pairs")
     )
     same = F.forall("pairs", lambda x: x["q"] == x["d"])
+    # a whole question of so few words must be the same, too
+    paired = paired.where((F.col("item_windows") > 1) | ~F.col("k").isin([k for _, k in SHORT]) | same)
     # an occurrence has no more windows than its question
     held = paired.groupBy(*occurrence).agg(
         F.collect_set(F.struct("at", "rich", same.alias("same"))).alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
@@ -290,8 +306,9 @@ def folded_matches(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limit
     distinct = lambda name: F.size(F.array_distinct(F.transform("pairs", lambda p: p[name])))
     consistent = (F.size("pairs") == distinct("q")) & (F.size("pairs") == distinct("d"))
     kept = F.when(consistent, F.col("places")).otherwise(F.filter("places", lambda x: x["same"]))
-    # the windows of all occurrences count together
-    lanes = F.array(F.lit(0))
+    # the windows of all occurrences of a long question count together; short windows are common, so those of
+    # two neighbouring diagonals do, which a word put in or left out makes of one
+    lanes = F.when(F.col("k") == limits.window, F.array(F.lit(0))).otherwise(F.array("shift", F.col("shift") + 1))
     at = F.collect_set(F.struct("place.at", "place.rich")).alias("at")
     counted = (
         held.select(*occurrence, F.size("pairs").alias("n_slots"), kept.alias("kept"))
@@ -310,9 +327,12 @@ def folded_matches(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limit
 
 
 def _reached(limits: Limits) -> Column:
+    """Of three-word windows all but the three that one changed word can take are asked for."""
+    least = SHORT[0][1]
+    enough = lambda n, every: f"if(k = {least}, {n} >= {every} - {least}, true) and 100 * {n} >= {limits.share} * {every}"
     return F.expr(
-        f"100 * n_windows >= {limits.share} * item_windows or n_rich >= {limits.enough}"
-        f" or (n_rich > 0 and 100 * n_rich >= {limits.share} * rich_windows)"
+        f"({enough('n_windows', 'item_windows')}) or (k = {limits.window} and n_rich >= {limits.enough})"
+        f" or (n_rich >= if(k = {limits.window}, 1, {LEAST_RICH}) and {enough('n_rich', 'rich_windows')})"
     )
 
 
