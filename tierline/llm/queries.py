@@ -15,6 +15,7 @@ from tierline.llm.ngram_join import Rule, ngram_components
 from tierline.llm.pii import personal_data
 from tierline.llm.quality import quality
 from tierline.llm.sharding import shard
+from tierline.llm.simhash import simhash_components
 from tierline.llm.toxicity import toxicity
 from tierline.llm.warc import archived
 
@@ -77,6 +78,11 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+@_query
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"), words=4, bits=4)
+
+
 SQL["op8_warc"] = """
 select page_id, strlen(h) as payload_bytes,
        array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
