@@ -14,6 +14,7 @@ from tierline.llm.mixing import mix
 from tierline.llm.ngram_join import Rule, ngram_components
 from tierline.llm.pii import personal_data
 from tierline.llm.quality import quality
+from tierline.llm.resampling import Features, resample
 from tierline.llm.sharding import shard
 from tierline.llm.simhash import simhash_components
 from tierline.llm.toxicity import toxicity
@@ -83,6 +84,13 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"), words=4, bits=4)
 
 
+@_query
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), Features(1, 1, 10_000), percent=10, least_words=20, seed=2024
+    )
+
+
 SQL["op8_warc"] = """
 select page_id, strlen(h) as payload_bytes,
        array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
@@ -92,3 +100,45 @@ select page_id, strlen(h) as payload_bytes,
 from (select page_id, h, sha1(h) as x, max(page_id) over (partition by h) as latest
       from (select page_id, coalesce(html, '') as h from pages) p) q
 """
+
+#: CRC-32 of distinct strings, byte by byte, over the table of the polynomial 0xEDB88320.
+_CRC_TABLE = """
+select list_transform(range(256), lambda n: list_reduce(list_prepend(n::bigint, range(8)),
+    lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as crcs
+"""
+_CRC = """
+xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(strlen({0})),
+    lambda i: ('0x' || substr(hex(encode({0})), 2 * i + 1, 2))::bigint)), lambda c, b: xor(c >> 8, crcs[1 + (xor(c, b) & 255)])), 4294967295)
+"""
+
+SQL["op13_resampling"] = f"""
+with t as ({_CRC_TABLE}),
+docs as (
+    select row_number() over () as row_id, doc_id, list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') as words from documents),
+target as (
+    select unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as w from benchmark),
+source as (select row_id, unnest(words) as w from docs),
+hashed as (
+    select w, {_CRC.format("w")} % 10000 as bucket
+    from (select w from source union select w from target) d, t),
+s as (select bucket, count(*) as n from source join hashed using (w) group by bucket),
+g as (select bucket, count(*) as n from target join hashed using (w) group by bucket),
+gains as (
+    select w, floor(1000 * ln(((coalesce(g.n, 0) + 1)::double * ((select count(*) from source) + 10000)::double)
+        / ((coalesce(s.n, 0) + 1)::double * ((select count(*) from target) + 10000)::double)))::bigint as gain
+    from hashed h left join s on h.bucket = s.bucket left join g on h.bucket = g.bucket),
+weights as (select row_id, sum(gain)::bigint as weight from source join gains using (w) group by row_id),
+scored as (
+    select d.doc_id, len(words) as n_features, coalesce(weight, 0) as weight,
+        coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint + 0.5::double)
+            / 4294967296::double)))::bigint as score
+    from docs d left join weights using (row_id)),
+able as (
+    select *, n_features >= 20 as is_able,
+        row_number() over (partition by n_features >= 20 order by score desc, doc_id nulls last, n_features) as place,
+        count(*) filter (n_features >= 20) over () * 10 // 100 as drawn
+    from scored)
+select doc_id, n_features, weight, score, case when is_able and place <= drawn then place end as rank from able
+"""
