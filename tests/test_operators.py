@@ -49,10 +49,30 @@ def test_windows_nest(spark):
     assert row["last_mth"] <= row["last_3m"] <= row["last_6m"] <= row["last_9m"] <= row["last_12m"] <= row["total"]
 
 
-def test_too_many_conditions(spark):
-    windows = {f"w{i}": "true" for i in range(8)}
+@pytest.mark.parametrize("n_groups, n_windows, n_single", [(8, 8, 0), (10, 10, 5), (1, 63, 2), (0, 3, 100), (7, 9, 1)])
+def test_more_conditions_than_a_long_has_bits(spark, n_groups, n_windows, n_single):
+    df = skewed(spark)
+    rows = [r.asDict() for r in df.select("k", "item", "id").collect()]
+    windows = {f"w{i}": f"id % {i + 2} = 0" for i in range(n_windows)}
+    groups = {f"g{i}": f"item > {i}" for i in range(n_groups)}
+    flags = {f"s{i}": f"id % {i + 3} = 1" for i in range(n_single)}
+    got = A.trailing_distinct(df, "k", windows, {"item": groups} if groups else {}, {"item": flags, "id": {"ids": "item > 2"}})
+    tests = {f"w{j}_g{i}": (lambda r, i=i, j=j: r["item"] > i and r["id"] % (j + 2) == 0) for i in range(n_groups) for j in range(n_windows)}
+    tests |= {f"s{i}": (lambda r, i=i: r["id"] % (i + 3) == 1) for i in range(n_single)}
+    for row in got.collect():
+        mine = [r for r in rows if r["k"] == row["k"] and r["item"] is not None]
+        assert all(row[name] == len({r["item"] for r in mine if test(r)}) for name, test in tests.items())
+        assert row["ids"] == len({r["id"] for r in mine if r["item"] > 2})
+
+
+def test_single_conditions_share_the_long_of_a_family(spark):
+    out = A.trailing_distinct(skewed(spark), "k", {f"w{i}": "true" for i in range(8)}, {"item": {"g": "true"}}, {"item": {"s": "item > 1"}})
+    assert out._jdf.queryExecution().analyzed().toString().count("named_struct(family") == 1
+
+
+def test_too_many_windows(spark):
     with pytest.raises(ValueError):
-        A.trailing_distinct(skewed(spark), "k", windows, {"item": {f"g{i}": "true" for i in range(8)}})
+        A.trailing_distinct(skewed(spark), "k", {f"w{i}": "true" for i in range(64)}, {"item": {"g": "true"}})
 
 
 def test_top_k_limits_before_the_shuffle(spark):

@@ -2,19 +2,19 @@
 `check.py` runs everything at any scale."""
 
 import os
+from pathlib import Path
 
 import duckdb
 import pytest
 
 import __spark_entry__ as contract
 from check import ordered
-from tierline.sources.views import BASE_TABLES
 
 FOLDER = "/root/testdata/sf0.001"
 PLANS = {
     "income_decile_summary", "agent_base", "coverage_fact", "agent_kpis", "agent_claims", "lapse_watchlist", "lead_list",
     "tier_progress", "policy_ltv", "first_second_product", "agent_assignment", "digital_activity", "recency_flags",
-    "client_level", "use_case_targets", "target_waterfall", "customer_features", "agent_customer_mix",
+    "client_level", "policy_base_later", "coverage_value", "use_case_targets", "target_waterfall", "customer_features", "agent_customer_mix",
 }
 
 
@@ -32,8 +32,8 @@ def _names():
 @pytest.fixture(scope="session")
 def con():
     con = duckdb.connect()
-    for name in BASE_TABLES:
-        con.execute(f"create view {name} as select * from '{FOLDER}/{name}.parquet'")
+    for path in Path(FOLDER).glob("*.parquet"):
+        con.execute(f"create view {path.stem} as select * from '{path}'")
     return con
 
 

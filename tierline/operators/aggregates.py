@@ -75,24 +75,24 @@ def trailing_distinct(
     if len(windows) > 63:
         raise ValueError("more windows than a long has bits")
     entries, outputs = [], []
-
-    def entry(item: str, terms: list[str], names: list[str]) -> None:
-        """One long of bits for an item; an item with more conditions has several."""
-        number = len(entries)
-        entries.append(f"named_struct('family', {number}, 'item', cast({item} as string), 'bits', {' | '.join(terms)})")
-        outputs.extend((number, i, name) for i, name in enumerate(names))
-
-    for item, groups in families.items():
-        listed, fit = list(groups.items()), 63 // max(1, len(windows))
-        for at in range(0, len(listed), fit):
-            part = listed[at : at + fit]
-            terms = [f"case when {cond} then shiftleft(_seen, {len(windows) * i}) else 0L end" for i, (_, cond) in enumerate(part)]
-            entry(item, terms, [f"{w}_{name}" for name, _ in part for w in windows])
-    for item, flags in single.items():
-        listed = list(flags.items())
-        for at in range(0, len(listed), 63):
-            part = listed[at : at + 63]
-            entry(item, [f"case when {cond} then {1 << i}L else 0L end" for i, (_, cond) in enumerate(part)], [n for n, _ in part])
+    for item in dict.fromkeys([*families, *single]):
+        # Each family takes a bit per window, each single condition one; an item fills one long after the other.
+        wanted = [(f"case when {cond} then shiftleft(_seen, {{}}) else 0L end", [f"{w}_{name}" for w in windows])
+                  for name, cond in families.get(item, {}).items()]
+        wanted += [(f"case when {cond} then shiftleft(1L, {{}}) else 0L end", [name]) for name, cond in single.get(item, {}).items()]
+        longs: list[list[str]] = []
+        used = 64
+        for term, names in wanted:
+            if used + len(names) > 63:
+                longs.append([])
+                used = 0
+            longs[-1].append(term.format(used))
+            outputs.extend((len(entries) + len(longs) - 1, used + i, name) for i, name in enumerate(names))
+            used += len(names)
+        entries += [
+            f"named_struct('family', {len(entries) + i}, 'item', cast({item} as string), 'bits', {' | '.join(terms)})"
+            for i, terms in enumerate(longs)
+        ]
     widest = max(i for _, i, _ in outputs) + 1
     items = (
         df.withColumn("_seen", F.expr(seen))

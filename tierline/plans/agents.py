@@ -306,7 +306,8 @@ def agent_kpis(fact: DataFrame, snapshot: str) -> DataFrame:
     All sums are one grouping by agent; all distinct counts are one grouping by agent and item
     followed by one by agent.
     """
-    rows = fact.withColumn("cvg_eff_yr", F.year("cvg_eff_dt"))
+    held = F.months_between("pol_trmn_dt", "pol_eff_dt")
+    rows = fact.withColumns({"cvg_eff_yr": F.year("cvg_eff_dt"), "months_held": held})
     windows = agg.trailing_windows("mth_offset", "cvg_eff_yr", int(snapshot[:4]))
     good = f"pol_stat_cd not in ({', '.join(repr(x) for x in NOT_SOLD)})"
     sums = agg.trailing_sums(
@@ -330,11 +331,10 @@ def agent_kpis(fact: DataFrame, snapshot: str) -> DataFrame:
         "po_ins_rela": {"fam": good},
         "year_month": {"month": good},
     }
-    ended = "months_between(pol_trmn_dt, pol_eff_dt)"
     single = {
         "pol_num": {
             "all_pol_cnt": good,
-            **{f"lap_{m}m_pol": f"lapsed = 1 and {ended} <= {m}" for m in (14, 20, 26)},
+            **{f"lap_{m}m_pol": f"lapsed = 1 and months_held <= {m}" for m in (14, 20, 26)},
         }
     }
     counts = agg.trailing_distinct(rows, "wa_cd_1", windows, families, single)

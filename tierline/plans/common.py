@@ -22,6 +22,9 @@ MATURED = ["F", "H", "D", "M", "T"]
 NOT_TAKEN = ["A"]
 TERMINATED = ["C", "L", "N", "R", "X"]
 PAID_UP = ["4", "7", "9"]
+# The later status families: a paid-up or waived policy is not in force.
+IN_FORCE_LATER = ["1", "3"]
+PAID_UP_LATER = ["2", "4", "5", "7", "9"]
 
 
 def day(snapshot: str) -> Column:

@@ -6,6 +6,7 @@ Amounts are converted by `rate`, a column: exchange rate divided by the unit of
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,9 +44,10 @@ STATUS_FLAGS = {
     "f_ter_ind": k.TERMINATED,
     "f_paid_ind": k.PAID_UP,
 }
+LATER_STATUS_FLAGS = {**STATUS_FLAGS, "f_inforce_ind": k.IN_FORCE_LATER, "f_paid_ind": k.PAID_UP_LATER}
 
 
-def policy_base(t: Frames, snapshot: str) -> DataFrame:
+def policy_base(t: Frames, snapshot: str, families: Mapping[str, Sequence[str]] = STATUS_FLAGS) -> DataFrame:
     """Coverages with policy status families, servicing-agent flags and payment-method flags."""
     snap = day(snapshot)
     agents = t["agent"].select(
@@ -70,10 +72,10 @@ def policy_base(t: Frames, snapshot: str) -> DataFrame:
     cov = t["coverage"].filter(c("cvg_eff_dt") <= snap).drop("wa_code", "nbv_margin")
     years = F.floor(dates.elapsed(snap, c("cvg_eff_dt"), YEAR_DAYS)).cast("int")
     dur = c("prem_dur").cast("int")
-    types = t["plan"].select("plan_code", "ins_typ_desc", "nbv_margin_a", "nbv_margin_b")
+    types = t["plan"].select("plan_code", "ins_typ_desc")
     lasted = dates.elapsed(F.coalesce("pol_trmn_dt", snap), c("pol_eff_dt"), YEAR_DAYS)
     tests = {
-        **{n: f"pol_stat_cd in ({', '.join(repr(x) for x in codes)})" for n, codes in STATUS_FLAGS.items()},
+        **{n: f"pol_stat_cd in ({', '.join(repr(x) for x in codes)})" for n, codes in families.items()},
         "f_same_agent": "wa_code = sa_code",
         "f_cheque": "lst_pmt_mthd = 'CHEQUE'",
         "f_cash": "lst_pmt_mthd = 'CASH'",
@@ -86,7 +88,7 @@ def policy_base(t: Frames, snapshot: str) -> DataFrame:
     rows = policies.join(cov, "pol_num", "left").join(types, "plan_code", "left")
     return rows.select(
         "pol_num", "po_num", "cvg_num", "cvg_eff_dt", "plan_code", "cvg_typ", "cvg_prem", "face_amt",
-        "dist_chnl_cd", "pol_stat_cd", "pmt_mode", "loc_cd", "ins_typ_desc", "nbv_margin_a", "nbv_margin_b",
+        "dist_chnl_cd", "pol_stat_cd", "pmt_mode", "loc_cd", "ins_typ_desc",
         "agt_tenure_yrs", "mdrt_flag", "mdrt_tot_flag", "mdrt_cot_flag",
         dur.alias("prem_dur"),
         F.least(years, dur).alias("prem_dur_pre"),
@@ -109,48 +111,89 @@ FIXED_MARGIN = -1.34041044648343
 UNVALUED_STATUSES = ["6", "8"]
 
 
-def margin_by_channel(loc: Column, channel: Column, margins: Mapping[str, Column]) -> Column:
-    """New-business margin by bank location, else by distribution channel."""
-    by_channel = (
-        F.when(channel.isin(BANK_CHANNELS), margins["other_banks"])
-        .when(channel.isin(AFFINITY_CHANNELS), margins["affinity"])
-        .when(channel.isin(AGENCY_CHANNELS), margins["agency"])
-        .when(channel.isin(DIRECT_CHANNELS), margins["direct"])
-        .when(channel == FIXED_MARGIN_CHANNEL, F.lit(FIXED_MARGIN))
-        .otherwise(margins["other"])
-    )
-    return (
-        F.when(loc.isNull(), by_channel)
-        .when(channel == "*", margins["agency"])
-        .when(loc.like("TCB%"), margins["tcb"])
-        .when(loc.like("SAG%"), margins["scb"])
-        .otherwise(margins["other"])
+# Bank locations by the beginning of their code, each with the margin it earns.
+BANK_MARGINS = {"TCB": "banca_tcb", "SAG": "banca_scb"}
+
+
+class MarginRule(NamedTuple):
+    """Coverages of some channels (None: any), with or without a bank location, that earn one role's margin of
+    their plan or a fixed one. `location` is the beginning of the code, "" any location, None no location."""
+
+    location: str | None
+    channels: Sequence[str] | None
+    role: str | None
+    fixed: float | None = None
+
+    def applies(self, loc: Column, channel: Column) -> Column:
+        where = loc.isNull() if self.location is None else loc.startswith(self.location)
+        return where if self.channels is None else where & channel.isin(list(self.channels))
+
+
+def margin_rules(banks: Mapping[str, str] = BANK_MARGINS) -> list[MarginRule]:
+    """The rules in order of precedence; the last one of each kind of location leaves no coverage out."""
+    return [
+        MarginRule(None, BANK_CHANNELS, "banca_other_banks"),
+        MarginRule(None, AFFINITY_CHANNELS, "other_channel_affinity"),
+        MarginRule(None, AGENCY_CHANNELS, "agency"),
+        MarginRule(None, DIRECT_CHANNELS, "dmtm"),
+        MarginRule(None, [FIXED_MARGIN_CHANNEL], None, FIXED_MARGIN),
+        MarginRule(None, None, "other_channel"),
+        MarginRule("", ["*"], "agency"),
+        *(MarginRule(prefix, None, role) for prefix, role in banks.items()),
+        MarginRule("", None, "other_channel"),
+    ]
+
+
+def long_margins(margins: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """One row per key and role from columns `nbv_margin_<role>`; a role without a margin has no row."""
+    prefix = "nbv_margin_"
+    columns = [n for n in margins.columns if n.startswith(prefix)]
+    long = margins.select(*keys, *columns).unpivot(list(keys), columns, "margin_role", name)
+    return long.filter(c(name).isNotNull()).withColumn("margin_role", F.substring("margin_role", len(prefix) + 1, 99))
+
+
+def with_margin(
+    rows: DataFrame, static: DataFrame, dated: DataFrame, rules: Sequence[MarginRule], name: str = "nbv_margin"
+) -> DataFrame:
+    """Margin of each row (plan_code, effective_qtr, loc_cd, dist_chnl_cd): of the first rule that applies, the
+    plan's own margin in that role, else the quarter's, and null where there is neither.
+
+    `static` has a row per plan, `dated` one per plan and quarter, both with a column per role. The rules are
+    evaluated per row without a join; the margins meet the rows once each, by plan, quarter and role.
+    """
+    loc, channel = c("loc_cd"), c("dist_chnl_cd")
+    tests = [(rule.applies(loc, channel), rule) for rule in rules]
+    marked = rows.withColumns(
+        {
+            "margin_role": bands.first_match([(test, rule.role) for test, rule in tests]),
+            "_fixed": bands.first_match([(test, rule.fixed) for test, rule in tests]).cast("double"),
+        }
     )
+    own = long_margins(static, ["plan_code"], "_own")
+    of_quarter = long_margins(dated, ["plan_code", "effective_qtr"], "_of_quarter")
+    found = marked.join(own, ["plan_code", "margin_role"], "left").join(of_quarter, ["plan_code", "effective_qtr", "margin_role"], "left")
+    margin = joins.lookup_coalesce(c("_fixed"), c("_own"), c("_of_quarter"))
+    return found.withColumn(name, margin).drop("_fixed", "_own", "_of_quarter", "margin_role")
 
 
-def coverage_value(t: Frames, snapshot: str, rate: Column) -> DataFrame:
+def coverage_value(
+    t: Frames,
+    snapshot: str,
+    rate: Column,
+    rules: Sequence[MarginRule] | None = None,
+    families: Mapping[str, Sequence[str]] = STATUS_FLAGS,
+) -> DataFrame:
     """New-business value, annual premium and face amount per coverage, and its channel."""
-    # Quarters join by number; the label is only for readers of the result.
-    dated = t["margin_history"].select(
-        "plan_code",
-        dates.quarter_index(c("effective_date")).alias("_qtr"),
-        c("nbv_margin").alias("dated_margin"),
-    )
-    base = policy_base(t, snapshot).filter(~c("pol_stat_cd").isin(UNVALUED_STATUSES))
-    labelled = base.withColumns(
-        {"effective_qtr": dates.lagged_quarter(c("cvg_eff_dt")), "_qtr": dates.quarter_index(c("cvg_eff_dt"), 6)}
-    )
-    rows = labelled.join(dated, ["plan_code", "_qtr"], "left")
-    a = joins.lookup_coalesce(c("nbv_margin_a"), c("dated_margin"))
-    b = joins.lookup_coalesce(c("nbv_margin_b"), c("dated_margin"))
-    margins = {"other_banks": a, "affinity": b, "agency": a, "direct": a, "other": b, "tcb": a, "scb": b}
+    base = policy_base(t, snapshot, families).filter(~c("pol_stat_cd").isin(UNVALUED_STATUSES))
+    labelled = base.withColumn("effective_qtr", dates.lagged_quarter(c("cvg_eff_dt")))
+    rows = with_margin(labelled, t["plan_margin"], t["margin_quarter"], rules or margin_rules())
     channel = (
         F.when(c("dist_chnl_cd").isin(AGENCY_CHANNELS), "Agency")
         .when(c("dist_chnl_cd").isin(DIRECT_CHANNELS), "DMTM")
         .otherwise(F.substring("loc_cd", 1, 3))
     )
     return (
-        rows.withColumns({"nbv_margin": margin_by_channel(c("loc_cd"), c("dist_chnl_cd"), margins), "_rate": rate})
+        rows.withColumn("_rate", rate)
         .withColumns(
             {
                 "plan_nbv": c("cvg_prem") / c("_rate") * c("nbv_margin"),
@@ -160,7 +203,7 @@ def coverage_value(t: Frames, snapshot: str, rate: Column) -> DataFrame:
                 "channel": channel,
             }
         )
-        .drop("_rate", "_qtr", "dated_margin", "nbv_margin_a", "nbv_margin_b", "cvg_prem", "face_amt")
+        .drop("_rate", "cvg_prem", "face_amt")
     )
 
 
@@ -192,14 +235,15 @@ def policy_level(value: DataFrame, products: Mapping[str, str] = PRODUCTS) -> Da
     return value.groupBy("po_num", "pol_num", "channel").agg(*[F.expr(text).alias(n) for n, text in measures.items()])
 
 
-def customer_channel(policies: DataFrame) -> DataFrame:
-    """Agency if any policy came that way, else one of two banks, else the first policy's channel."""
+def customer_channel(policies: DataFrame, first_of: Sequence[str] = ("Agency", *BANK_MARGINS)) -> DataFrame:
+    """The first of the given channels (Agency, then the banks) that a policy came by, else that of the first
+    policy."""
 
     def seen(label: str) -> Column:
         return F.max(bands.flag(c("channel") == label)) == 1
 
     first = F.min_by("channel", F.struct("first_eff", "pol_num"))
-    label = F.when(seen("Agency"), "Agency").when(seen("TCB"), "TCB").when(seen("SAG"), "SAG").otherwise(first)
+    label = F.coalesce(*[F.when(seen(name), name) for name in first_of], first)
     return policies.groupBy("po_num").agg(label.alias("channel_final"))
 
 

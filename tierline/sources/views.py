@@ -100,6 +100,28 @@ from {part}""",
 select plan_code, effective_date, (p_size + month(effective_date)) / 100.0e0 as nbv_margin
 from (select p_partkey as plan_code, p_size, {EXPLODE} as effective_date
       from {part} where p_size <= 40) q""",
+    "plan_margin": """
+select p_partkey as plan_code, p_size / 90.0e0 as nbv_margin_agency_affinity,
+       case when p_size <= 40 then p_size / 100.0e0 end as nbv_margin_agency,
+       case when p_size % 3 <> 0 then p_size / 110.0e0 end as nbv_margin_dmtm,
+       case when p_size % 4 <> 0 then p_size / 120.0e0 end as nbv_margin_other_channel_affinity,
+       p_retailprice / 10000.0e0 as nbv_margin_other_channel,
+       case when p_size % 5 <> 0 then p_size / 130.0e0 end as nbv_margin_banca_other_banks,
+       case when p_size % 6 <> 0 then p_size / 140.0e0 end as nbv_margin_banca_scb,
+       case when p_size % 7 <> 0 then p_size / 150.0e0 end as nbv_margin_banca_tcb
+from {part}""",
+    "margin_quarter": """
+select plan_code, concat(cast(year(effective_date) as varchar(4)), ' Q', cast(quarter(effective_date) as varchar(1))) as effective_qtr,
+       (p_size + month(effective_date)) / 190.0e0 as nbv_margin_agency_affinity,
+       (p_size + month(effective_date)) / 200.0e0 as nbv_margin_agency,
+       (p_size + month(effective_date)) / 210.0e0 as nbv_margin_dmtm,
+       (p_size + month(effective_date)) / 220.0e0 as nbv_margin_other_channel_affinity,
+       (p_size + month(effective_date)) / 230.0e0 as nbv_margin_other_channel,
+       case when p_size % 2 = 0 then (p_size + month(effective_date)) / 240.0e0 end as nbv_margin_banca_other_banks,
+       (p_size + month(effective_date)) / 250.0e0 as nbv_margin_banca_scb,
+       (p_size + month(effective_date)) / 260.0e0 as nbv_margin_banca_tcb
+from (select p_partkey as plan_code, p_size, {EXPLODE} as effective_date
+      from {part}) q""",
     "claim": """
 select l_orderkey as pol_num, l_orderkey * 10 + l_linenumber as clm_id,
        case l_returnflag when 'A' then 'A' when 'R' then 'I' else 'D' end as clm_stat_code,
