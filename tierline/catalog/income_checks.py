@@ -151,11 +151,13 @@ def _(t):
 
 @query(
     "lead_conversion",
-    f"""select income_segment, count(tgt) as lead_count, coalesce(cast(sum(n_sales) as bigint), 0) as conversion, count(case when tgt is not null then n_sales end) as converted_leads,
-        {money('ape')} / any_value(r) as conversion_ape, {money('nbv', 4)} / any_value(r) as conversion_nbv from income_frame f join usd on true
-        left join (select po_num, count(*) as n_sales, {money('tot_ape')} as ape, {money('tot_ape * nbv_margin_a', 4)} as nbv from policy left join policy_plan using (pol_num)
-                   left join plan using (plan_code) where {offset('pol_eff_dt')} between -6 and -1 group by po_num) s on s.po_num = f.po_num
-        left join (select po_num as tgt from score where p_1 > 0.5) l on l.tgt = f.po_num group by income_segment""",
+    f"""select income_segment, count(distinct case when l.n > 0 then f.po_num end) as lead_count, count(distinct case when s.n > 0 then f.po_num end) as converted_leads,
+        coalesce(cast(sum(s.n) as double), 0.0e0) as conversion, {money0('s.ape / usd.r', 4)} as conversion_ape, {money0('s.nbv / usd.r', 4)} as conversion_nbv
+        from income_frame f join usd on true left join (select tgt_cust_id, count(*) as n from campaign group by 1) l on l.tgt_cust_id = f.po_num
+        left join (select p.po_num, count(*) as n, {money('p.tot_ape')} as ape, {money('p.tot_ape * m.nbv_margin_agency', 4)} as nbv from policy p
+                   left join policy_plan using (pol_num) left join plan_margin m using (plan_code)
+                   where {offset('p.pol_eff_dt')} between -6 and -1 and p.pol_eff_dt >= (select min(g.lead_dt) from campaign g where g.tgt_cust_id = p.po_num)
+                   group by p.po_num) s on s.po_num = f.po_num group by income_segment""",
 )
 def _(t):
-    return I.lead_conversion(t, frame(t), SNAP, rate(t))
+    return I.lead_conversion(frame(t))

@@ -168,6 +168,25 @@ def running_min(df: DataFrame, keys: Sequence[str], order: Order, value: str, na
     return running(df, keys, order, value, "min", name)
 
 
+def asof_last(
+    events: DataFrame, marks: DataFrame, keys: Sequence[str], at: str, mark_at: str, name: str
+) -> DataFrame:
+    """`events` with the last time of the marks of the same keys up to their own (null: none before).
+
+    Marks and events are sorted together and the last mark is carried on as a running maximum, so that no event
+    meets a mark in a join and a key with most of the rows is spread over ranges. At equal times the mark comes
+    first. Null keys match each other; an event without a time has no mark.
+    """
+    both = marks.select(*keys, F.col(mark_at).alias("_when"), F.col(mark_at).alias("_mark"), F.lit(0).alias("_kind"), F.lit(None).alias("_event"))
+    mine = events.select(
+        *keys, F.col(at).alias("_when"), F.lit(None).alias("_mark"), F.lit(1).alias("_kind"), F.struct(*events.columns).alias("_event")
+    )
+    known = both.filter(F.col("_when").isNotNull()).unionByName(mine)
+    carried = running(known, keys, [("_when", "asc"), ("_kind", "asc")], "_mark", "max", "_last")
+    last = F.when(F.col("_when").isNotNull(), F.col("_last")).alias(name)
+    return carried.filter(F.col("_kind") == 1).select("_event.*", last)
+
+
 def average_rank(df: DataFrame, col: str, name: str = "rank") -> DataFrame:
     """Descending rank, ties sharing the mean of their places, cut to an integer; NULL for NULL.
 

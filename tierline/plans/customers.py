@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tierline.functions import bands, dates, money
 from tierline.operators import aggregates as agg
-from tierline.operators import joins, ordered, ranking
+from tierline.operators import joins, ordered, ranking, sets
 from tierline.plans import common as k
 from tierline.plans.common import Frames, day, exchange_rate
 from tierline.sources.sink import stage
@@ -35,6 +35,8 @@ def rate_of(t: Frames, snapshot: str, unit: float = 1000.0) -> Column:
     return exchange_rate(t, snapshot).cast("double") / F.lit(unit)
 
 
+# Fixed value: activity tier of agents who sold in the last month.
+ACTIVE_LAST_MONTH = "1mAA"
 STATUS_FLAGS = {
     "f_inforce_ind": k.IN_FORCE,
     "f_lapse_ind": k.LAPSED,
@@ -60,6 +62,7 @@ def policy_base(t: Frames, snapshot: str, families: Mapping[str, Sequence[str]]
         bands.flag(c("tier") == "MDRT").alias("mdrt_flag"),
         bands.flag(c("tier") == "TOT").alias("mdrt_tot_flag"),
         bands.flag(c("tier") == "COT").alias("mdrt_cot_flag"),
+        bands.flag(c("agent_tier") == ACTIVE_LAST_MONTH).alias("active_1m_flag"),
     )
     contacts = t["client"].select(c("cli_num").alias("po_num"), c("email_addr").alias("cli_email"), c("mobl_phon_num").alias("cli_mobile"))
     policies = (
@@ -89,7 +92,7 @@ def policy_base(t: Frames, snapshot: str, families: Mapping[str, Sequence[str]]
     return rows.select(
         "pol_num", "po_num", "cvg_num", "cvg_eff_dt", "plan_code", "cvg_typ", "cvg_prem", "face_amt",
         "dist_chnl_cd", "pol_stat_cd", "pmt_mode", "loc_cd", "ins_typ_desc",
-        "agt_tenure_yrs", "mdrt_flag", "mdrt_tot_flag", "mdrt_cot_flag",
+        "agt_tenure_yrs", "mdrt_flag", "mdrt_tot_flag", "mdrt_cot_flag", "active_1m_flag",
         dur.alias("prem_dur"),
         F.least(years, dur).alias("prem_dur_pre"),
         (dur - F.least(years, dur)).alias("prem_dur_post"),
@@ -207,7 +210,7 @@ def coverage_value(
     )
 
 
-FLAG_COLUMNS = [*STATUS_FLAGS, "f_same_agent", "mdrt_flag", "mdrt_tot_flag", "mdrt_cot_flag", "annual_flag", "valid_email", "valid_mobile"]
+FLAG_COLUMNS = [*STATUS_FLAGS, "f_same_agent", "mdrt_flag", "mdrt_tot_flag", "mdrt_cot_flag", "active_1m_flag", "annual_flag", "valid_email", "valid_mobile"]
 COUNT_COLUMNS = ["f_cash", "f_cheque", "f_auto"]
 
 
@@ -447,6 +450,69 @@ def digital_activity(t: Frames, cutoff: str) -> DataFrame:
     return ranking.latest_per_key(known, ["cli_num"], order).select("cli_num", "activation_date", "reg_dt", "lst_login_dt")
 
 
+# Fixed value: the page whose visits are portal logins.
+LOGIN_PAGE = "/portfolio/policies"
+
+
+def portal_activity(t: Frames, cutoff: str, servers: Sequence[str]) -> DataFrame:
+    """First login to the customer portal and last repeat login per customer, both up to the cut-off.
+
+    A login is a visit of the policies page on one of `servers` by a known visitor; excluded hits and sources do not
+    count. Users who never came back drop out. Of several accounts the one that joined last counts.
+    """
+    end = day(cutoff)
+    until = F.to_timestamp_ntz(F.concat(F.lit(cutoff), F.lit(" 23:59:59.999999")))
+    logins = t["portal_hit"].filter(
+        (c("exclude_hit") == 0) & ~c("hit_source").isin(EXCLUDED_SOURCES) & c("visitor").isNotNull() & c("login_id").isNotNull()
+        & (c("page") == LOGIN_PAGE) & c("server").isin(list(servers))
+    )
+    used = ranking.first_and_repeat(logins, "login_id", "date_time", until, "joined", "last").select(
+        c("login_id").alias("acc_id"), F.to_date("joined").alias("cws_joint_dt"), F.to_date("last").alias("cws_lst_login_dt")
+    )
+    known = t["portal_account"].join(used, "acc_id").filter((c("cws_lst_login_dt") <= end) & (c("cws_joint_dt") <= end))
+    order = [("cws_joint_dt", "desc"), ("cws_lst_login_dt", "desc"), ("acc_id", "asc")]
+    return ranking.latest_per_key(known, ["cli_num"], order).select("cli_num", "cws_joint_dt", "cws_lst_login_dt")
+
+
+def propensity(t: Frames) -> DataFrame:
+    """Least decile of any product model per owner: of the models for existing customers, united with those for
+    new ones. An owner in both takes the least."""
+    existing = ["decile_inv", "decile_ci", "decile_lp", "decile_lt", "decile_acc", "decile_med"]
+    new = ["ci_decile", "invst_decile", "lt_decile"]
+    both = sets.union_scores(
+        [(t["existing_score"].withColumnRenamed("cli_num", "po_num"), existing), (t["new_score"], new)], "po_num", "min_decile"
+    )
+    return both.groupBy("po_num").agg(F.min("min_decile").alias("min_decile"))
+
+
+def recent_sales(t: Frames, snapshot: str, months: int = 6) -> DataFrame:
+    """Policies sold in the months before the snapshot's, with their value: owner, day, premium, new-business value."""
+    in_time = dates.month_offset(c("pol_eff_dt"), day(snapshot)).between(-months, -1)
+    return (
+        t["policy"].filter(in_time).select("po_num", "pol_num", "pol_eff_dt", "tot_ape")
+        .join(t["policy_plan"].select("pol_num", "plan_code"), "pol_num", "left")
+        .join(t["plan_margin"].select("plan_code", "nbv_margin_agency"), "plan_code", "left")
+        .select("po_num", "pol_num", "pol_eff_dt", "tot_ape", (c("tot_ape") * c("nbv_margin_agency")).alias("nbv"))
+    )
+
+
+def owner_leads(t: Frames, snapshot: str, rate: Column) -> DataFrame:
+    """Leads of the campaign per owner, and the sales that followed one: each sale is led by the last lead up to its
+    day, so a sale before the owner's first lead is none of the campaign's."""
+    leads = t["campaign"].select(c("tgt_cust_id").alias("po_num"), "lead_dt")
+    sales = ordered.asof_last(recent_sales(t, snapshot), leads, ["po_num"], "pol_eff_dt", "lead_dt", "led_by")
+    led = sales.filter(c("led_by").isNotNull()).groupBy("po_num").agg(
+        F.count("*").alias("conversion"),
+        F.sum(money.exact(c("tot_ape"))).alias("_ape"),
+        F.sum(money.exact(c("nbv"), 4)).alias("_nbv"),
+    )
+    asked = leads.groupBy("po_num").agg(F.count("*").alias("lead_cnt"))
+    return asked.join(led, "po_num", "left").select(
+        "po_num", "lead_cnt", F.coalesce("conversion", F.lit(0)).alias("conversion"),
+        (c("_ape").cast("double") / rate).alias("conversion_ape"), (c("_nbv").cast("double") / rate).alias("conversion_nbv"),
+    )
+
+
 def owner_payments(t: Frames, rate: Column) -> DataFrame:
     """Premium paid and the largest face amount of a policy, per owner."""
     faces = t["coverage"].groupBy("pol_num").agg(money.total(c("face_amt")).alias("face"))
@@ -500,6 +566,15 @@ def recency_flags(t: Frames, snapshot: str) -> DataFrame:
 # ---------------------------------------------------------------- client level
 
 INCOME_FLOOR, INCOME_CAP = 864.0, 20000.0
+# Cities and marketing segments with a flag of their own.
+CITIES = {"f_HCM": "Hồ Chí Minh", "f_HN": "Hà Nội", "f_DN": "Đà Nẵng"}
+SEGMENTS = {
+    "f_adult_self_insured": "Adult Self Insured",
+    "f_family": "Family",
+    "f_family_wkids": "Family with Kids",
+    "f_empty_nest": "Empty Nester",
+    "f_undefined_segment": "Undefined Segmentation",
+}
 
 
 def adjusted_income(income: Column, tenure: Column) -> Column:
@@ -530,6 +605,9 @@ def client_level(
     rate: Column,
     products: Mapping[str, str] = PRODUCTS,
     long_years: int = 10,
+    portal_servers: Sequence[str] = (),
+    cities: Mapping[str, str] = CITIES,
+    segments: Mapping[str, str] = SEGMENTS,
 ) -> DataFrame:
     """One wide row per agency customer. Incomes are converted once, here; `rate` gives local currency.
 
@@ -544,6 +622,7 @@ def client_level(
         *_owner_sums(),
         F.min("first_eff").alias("first_pol_eff_dt"),
         F.count("pol_num").alias("pol_count"),
+        F.min("next_due_decile").alias("next_due_lapse_decile"),
         *[F.expr(f"sum(has_{n})").alias(f"{n}_pol") for n in products],
         *[F.expr(f"sum({flag_name})").alias(f"{n}_pol") for n, flag_name in held.items()],
         *[F.expr(f"max({n})").alias(n) for n in FLAG_COLUMNS if n not in STATUS_FLAGS],
@@ -560,11 +639,18 @@ def client_level(
     )
     first_two = first_second_product(t).select("po_num", "ins_typ_desc_1", "ins_typ_desc_2", "tot_ape_1", "yr_2nd_prod")
     digital = digital_activity(t, digital_cutoff).withColumnRenamed("cli_num", "po_num")
-    propensity = t["score"].select("po_num", F.least("health_base", "inv_base", "health_rider", "riders").alias("min_score"))
+    cities_of = t["location"].select(c("loc_cd").alias("city_cd"), "city")
+    people = people.join(cities_of, "city_cd", "left")
+    survey = t["income_survey"].groupBy(c("cli_num").alias("po_num")).agg(F.max("avg_mth_income").alias("max_income"))
+    portal = portal_activity(t, digital_cutoff, portal_servers).withColumnRenamed("cli_num", "po_num")
+    scores = t["score"].select("po_num", F.least("health_base", "inv_base", "health_rider", "riders").alias("min_score"))
     recency = recency_flags(t, snapshot)
     joined = joins.star_join(
         owners.join(agency, "po_num"),
-        [(f, ["po_num"]) for f in (types, propensity, people, first_two, digital, recency, unassigned_owners(t), owner_is_agent(t), owner_payments(t, rate), dependents(t))],
+        [(f, ["po_num"]) for f in (
+            types, scores, propensity(t), people, survey, first_two, digital, portal, recency, unassigned_owners(t), owner_is_agent(t),
+            owner_payments(t, rate), dependents(t), owner_leads(t, snapshot, rate),
+        )],
     )
     tenure = dates.elapsed(snap, c("first_pol_eff_dt"), YEAR_DAYS)
     ordinal = {"1st": "ins_typ_desc_1", "2nd": "ins_typ_desc_2"}
@@ -584,12 +670,19 @@ def client_level(
             "move_reg": bands.flag("activation_date is not null"),
             "move_tenure_days": F.datediff(cut, "activation_date"),
             "move_last_log_days": F.datediff(cut, "lst_login_dt"),
+            "cws_reg": bands.flag("cws_joint_dt is not null"),
+            "cws_tenure_days": F.datediff(cut, "cws_joint_dt"),
+            "cws_last_log_days": F.datediff(cut, "cws_lst_login_dt"),
+            **{name: bands.flag(c("city") == city) for name, city in cities.items()},
+            "f_oth_city": bands.flag(~c("city").isin(list(cities.values()))),
+            **{name: bands.flag(c("customer_segment") == segment) for name, segment in segments.items()},
+            "incm_2": F.coalesce(c("max_income") / rate, c("mthly_incm")),
             "adj_mthly_incm": adjusted_income(c("mthly_incm"), tenure),
             "cli_nbv_margin": money.safe_ratio(c("plan_nbv"), c("coverage_ape")),
         }
     )
     return wide.withColumns({f"f_vip_{n}": bands.flag(f"vip = '{n}'") for n in VIP_BOUNDS}).drop(
-        "ins_typ_desc_1", "ins_typ_desc_2", "activation_date", "reg_dt", "lst_login_dt", "long_pol_cnt"
+        "ins_typ_desc_1", "ins_typ_desc_2", "activation_date", "reg_dt", "lst_login_dt", "long_pol_cnt", "cws_joint_dt", "cws_lst_login_dt", "max_income"
     )
 
 

@@ -132,7 +132,9 @@ _MEANS = [
     "f_same_agent", "annual_flag", "valid_email", "valid_mobile", "f_cash", "f_cheque", "f_auto",
     "coverage_ape", "inforce_ind", "top1_3_lapse", "early_lapse_decile", "move_reg", "move_last_log_days", "move_tenure_days",
     "unassigned_ind", "f_trmn_0_6m", "f_trmn_6_12m", "f_trmn_12_18m", "f_purchase_0_6m", "f_purchase_6_12m", "f_purchase_12_18m",
-    "f_mat_0_12m", "f_mat_12_24m", "plan_nbv", "rider_ape", "rider_cnt", "f_with_rider", "protection_fa", "protection_fa_all",
+    "f_mat_0_12m", "f_mat_12_24m", "active_1m_flag", "f_HCM", "f_HN", "f_DN", "f_oth_city", "f_adult_self_insured", "f_family",
+    "f_family_wkids", "f_empty_nest", "f_undefined_segment", "cws_reg", "cws_tenure_days", "cws_last_log_days", "incm_2",
+    "min_decile", "next_due_lapse_decile", "lapse_decile", "plan_nbv", "rider_ape", "rider_cnt", "f_with_rider", "protection_fa", "protection_fa_all",
 ]
 
 # The measures of every customer profile: name, function, column, condition, decimals.
@@ -142,6 +144,10 @@ PROFILE: list[agg.Measure] = [
     ("sum_with_dependent", "sum", "f_with_dependent", None, 0),
     ("sum_transaction_usd", "sum", "transaction_usd", None, 4),
     ("sum_owner_is_agent", "sum", "f_owner_is_agent", None, 0),
+    ("lead_count", "sum", "lead_cnt", None, 0),
+    ("conversion", "sum", "conversion", None, 0),
+    ("conversion_ape", "sum", "conversion_ape", None, 4),
+    ("conversion_nbv", "sum", "conversion_nbv", None, 4),
     # One row per customer, so counting the rows counts distinct customers.
     ("count_female", "count", "po_num", "sex_code = 'F'", 0),
     ("mean_inf_ltv", "mean", "cli_ltv_mod", "inforce_ind > 0", 4),
@@ -219,31 +225,14 @@ def use_case_counts(frame: DataFrame) -> DataFrame:
     return agg.profile(frame.filter(wanted), ["income_segment"], [("customers", "count", "po_num", None, 0)])
 
 
-def lead_conversion(t: Frames, frame: DataFrame, snapshot: str, rate: Column, lead_above: float = 0.5) -> DataFrame:
-    """Leads, later sales and their value per income segment.
-
-    Sales are summed per owner first, so an owner with many sales is one row in the join.
-    """
-    snap = day(snapshot)
-    sales = (
-        t["policy"]
-        .filter(dates.month_offset(c("pol_eff_dt"), snap).between(-6, -1))
-        .join(t["policy_plan"].select("pol_num", "plan_code"), "pol_num", "left")
-        .join(t["plan"].select("plan_code", "nbv_margin_a"), "plan_code", "left")
-        .groupBy(c("po_num").alias("new_pol_cust_id"))
-        .agg(
-            F.count("*").alias("n_sales"),
-            F.sum(money.exact(c("tot_ape"))).alias("new_pol_ape"),
-            F.sum(money.exact(c("tot_ape") * c("nbv_margin_a"), 4)).alias("new_pol_nbv"),
-        )
-    )
-    leads = t["score"].filter(c("p_1") > lead_above).select(c("po_num").alias("tgt_cust_id"))
-    rows = joins.join_named_keys(frame.select("po_num", "income_segment"), sales, {"po_num": "new_pol_cust_id"})
-    rows = joins.join_named_keys(rows, leads, {"po_num": "tgt_cust_id"})
-    return rows.groupBy("income_segment").agg(
-        F.count("tgt_cust_id").alias("lead_count"),
-        F.coalesce(F.sum("n_sales"), F.lit(0)).alias("conversion"),
-        F.count(F.when(c("tgt_cust_id").isNotNull(), c("n_sales"))).alias("converted_leads"),
-        (F.sum("new_pol_ape").cast("double") / rate).alias("conversion_ape"),
-        (F.sum("new_pol_nbv").cast("double") / rate).alias("conversion_nbv"),
-    )
+def lead_conversion(frame: DataFrame) -> DataFrame:
+    """Customers with leads, those that bought after one, and the sales that followed a lead with their value, per
+    income segment. A sale before the customer's first lead is no conversion (`customers.owner_leads`)."""
+    spec: list[agg.Measure] = [
+        ("lead_count", "count", "lead_cnt", None, 0),
+        ("converted_leads", "count", "lead_cnt", "conversion > 0", 0),
+        ("conversion", "sum", "conversion", None, 0),
+        ("conversion_ape", "sum", "conversion_ape", None, 4),
+        ("conversion_nbv", "sum", "conversion_nbv", None, 4),
+    ]
+    return agg.profile(frame, ["income_segment"], spec)

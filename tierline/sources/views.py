@@ -24,6 +24,7 @@ select s_suppkey as agt_code, s_name as agt_nm, s_nationkey as loc_cd, s_acctbal
        cast(s_suppkey % 4 as int) as no_sbw_completed,
        case cast(s_suppkey % 7 as int) when 0 then 'TOT' when 1 then 'COT' when 2 then 'MDRT' when 3 then 'Platinum'
             when 4 then 'Gold' when 5 then 'Silver' else 'Unranked' end as tier,
+       case when s_suppkey % 4 = 1 then '1mAA' when s_suppkey % 4 = 2 then '3mAA' end as agent_tier,
        case cast(s_suppkey % 5 as int) when 0 then 'TCB01' when 1 then 'SAG02' when 2 then 'XX03' end as bank_loc,
        concat('I', cast(s_suppkey * 7 as varchar(20))) as id_num,
        concat('P', cast(s_suppkey % 40 as varchar(20))) as per_nm,
@@ -141,6 +142,29 @@ select c_custkey as po_num, (c_custkey * 7 % 100) / 100.0e0 as health_base, (c_c
        (c_custkey * 37 % 1000) / 1000.0e0 as p_1,
        case when c_custkey % 6 = 0 then 'PENDING' else 'APPROVED' end as deployment_approval_status
 from {customer} where c_custkey % 5 <> 0""",
+    "new_score": """
+select c_custkey as po_num, cast(1 + c_custkey * 3 % 10 as int) as ci_decile, cast(1 + c_custkey * 7 % 10 as int) as invst_decile,
+       cast(1 + c_custkey * 9 % 10 as int) as lt_decile
+from {customer} where c_custkey % 5 = 0 and c_custkey % 3 <> 0""",
+    "existing_score": """
+select c_custkey as cli_num, cast(1 + c_custkey * 3 % 10 as int) as decile_inv, cast(2 + c_custkey * 7 % 9 as int) as decile_ci,
+       cast(3 + c_custkey * 11 % 8 as int) as decile_lp, case when c_custkey % 7 <> 0 then cast(1 + c_custkey * 13 % 10 as int) end as decile_lt,
+       cast(4 + c_custkey * 17 % 7 as int) as decile_acc, cast(2 + c_custkey * 19 % 9 as int) as decile_med
+from {customer} where c_custkey % 5 <> 0""",
+    "income_survey": """
+select c_custkey as cli_num, cast(k as int) as survey_num, (abs(c_acctbal) + c_custkey % 1000 * (k + 1)) * 20 as avg_mth_income
+from {customer}, (select 0 as k union all select 1 as k) n where c_custkey % 4 <> 1""",
+    "campaign": """
+select c_custkey as tgt_cust_id, date '2000-12-15' + cast(c_custkey * 17 % 180 as int) + k * 60 as lead_dt
+from {customer}, (select 0 as k union all select 1 as k) n where c_custkey * 37 % 1000 > 500""",
+    "portal_account": """
+select user_id as cli_num, case when user_id % 6 <> 0 then user_id * 2 end as acc_id from {events} group by user_id""",
+    "portal_hit": """
+select event_id, user_id * 2 as login_id, ts as date_time, cast(event_id % 10 as varchar(2)) as hit_source,
+       case when event_id % 11 = 0 then 1 else 0 end as exclude_hit, case when event_id % 13 <> 0 then event_id end as visitor,
+       case when event_id % 4 <> 3 then '/portfolio/policies' else '/home' end as page,
+       case event_id % 5 when 0 then 'portal-old' when 1 then 'elsewhere' else 'portal' end as server
+from {events}""",
     "rate": """
 select 'U' as rate_typ, '78' as ccy, effective_date as fr_eff_dt,
        23000 + 5 * (year(effective_date) - 1995) + month(effective_date) as xchng_rate
