@@ -84,6 +84,20 @@ def _with_windows(df: DataFrame, k: int) -> DataFrame:
     return _held(df, "windows", F.when(count > 0, every).otherwise(F.array().cast("array<bigint>"))).drop("hashes")
 
 
+def _passes(h: Column, bits: str = "bits") -> Column:
+    """Whether the filter in the column `bits` has the hash."""
+    word = F.get(bits, F.shiftright(h.bitwiseAND(64 * FILTER_WORDS - 1), 6).cast("int"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))
+    return word.bitwiseAND(bit) != 0
+
+
+def _by_place(df: DataFrame, hashes: str, k: int) -> DataFrame:
+    """A row for each place `pos` where k words begin. What is computed of the words at a place is generated code,
+    and the arrays beside it are not copied; lambdas over arrays are interpreted and take many times as long."""
+    last = F.size(hashes) - k
+    return df.where(last >= 0).select("*", F.explode(F.sequence(F.lit(0), last)).alias("pos"))
+
+
 def _slots(words: Column, at: Column, k: int) -> Column:
     """Of the k words from the place `at` (from 0): value of a slot, null of a literal word."""
     return F.transform(F.slice(words, at + 1, k), lambda w: F.when(w.startswith(OPEN), F.lower(w)))
@@ -125,18 +139,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limits()) ->
     bits = _filter_bits(asked)
     text = F.col("text").cast("string")
     prepared = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
-    windows = _with_windows(_held(prepared, "marked", _marked(F.col("text"))).drop("text"), k)
-
-    def passes(h: Column) -> Column:
-        word = F.get("bits", F.shiftright(h.bitwiseAND(64 * FILTER_WORDS - 1), 6).cast("int"))
-        bit = F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))
-        return word.bitwiseAND(bit) != 0
-
-    places = F.transform("windows", lambda h, i: F.when(passes(h), F.struct(i.alias("pos"), h.alias("hash"))))
-    hits = _held(windows.withColumn("bits", bits), "hits", F.filter(places, lambda x: x.isNotNull()))
-    found = hits.select("doc_id", "text_hash", "marked", F.explode("hits").alias("hit")).select(
-        "doc_id", "text_hash", "hit.pos", "hit.hash", _slots(_words(F.col("marked")), F.col("hit.pos"), k).alias("own")
-    )
+    marked = _held(prepared, "marked", _marked(F.col("text"))).drop("text")
+    # split once: a text may have many hits
+    hashed = _held(marked, "hashes", F.transform(_words(_template(F.col("marked"))), lambda w: F.xxhash64(w)))
+    hashed = _held(hashed, "words", _words(F.col("marked"))).drop("marked")
+    # the hash of an array is that of its elements side by side
+    window = F.xxhash64(*(F.get("hashes", F.col("pos") + j) for j in range(k)))
+    places = _held(_by_place(hashed.withColumn("bits", bits), "hashes", k), "hash", window).where(_passes(F.col("hash")))
+    # the part of a hit is cut out while code is generated, before a lambda takes whole rows over
+    parts = _held(places, "part", F.slice("words", F.col("pos") + 1, k))
+    found = parts.select("doc_id", "text_hash", "pos", "hash", _slots(F.col("part"), F.lit(0), k).alias("own"))
     found = stage(found, "window-hits")  # few rows, read twice below
     paired = found.join(asked, "hash").select(
         "doc_id", "text_hash", "item_id", "item_windows", "at", (F.col("pos") - F.col("at")).alias("shift"),
@@ -213,13 +225,6 @@ def _folded(df: DataFrame, bits: Column) -> DataFrame:
     return _held(df.withColumn("bits", bits), "template", F.transform("words", one)).drop("bits")
 
 
-def _passes(h: Column) -> Column:
-    """Whether the filter in the column `bits` has the hash."""
-    word = F.get("bits", F.shiftright(h.bitwiseAND(64 * FILTER_WORDS - 1), 6).cast("int"))
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))
-    return word.bitwiseAND(bit) != 0
-
-
 def _is_slot(t: Column) -> Column:
     return (t == WORD) | (t == NUMBER)
 
@@ -268,24 +273,21 @@ def folded_matches(docs: DataFrame, benchmark: DataFrame, limits: Limits = Limit
     prepared = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), _folded_words(F.lower(text)).alias("words")
     )
-    rows = _folded(_held(prepared, "held", F.col("words")).drop("words").withColumnRenamed("held", "words"), _filter_bits(vocabulary))
-    for k in sizes:
-        count = F.size("template") - k + 1
-        every = F.transform(F.sequence(F.lit(1), count), lambda i: F.xxhash64(F.slice("template", i, k)))
-        rows = _held(rows, f"windows_{k}", F.when(count > 0, every).otherwise(F.array().cast("array<bigint>")))
-    rows = rows.withColumn("bits", _filter_bits(asked.select(F.col("template_hash").alias("hash")).distinct()))
-
-    def hits(k: int) -> Column:
-        def one(h: Column, i: Column) -> Column:
-            n_literal = F.size(F.filter(F.slice("template", i + 1, k), lambda t: ~_is_slot(t)))
-            found = F.struct(F.lit(k).alias("k"), i.alias("pos"), h.alias("hash"), n_literal.alias("n_literal"), F.slice("words", i + 1, k).alias("own"))
-            return F.when(_passes(h), found)
-
-        return F.filter(F.transform(f"windows_{k}", one), lambda x: x.isNotNull())
-
-    if not sizes:
-        rows, sizes = rows.withColumn("windows_1", F.array().cast("array<bigint>")), [1]
-    found = rows.select("doc_id", "text_hash", F.explode(F.concat(*(hits(k) for k in sizes))).alias("hit")).select("doc_id", "text_hash", "hit.*")
+    held = _held(prepared, "held", F.col("words")).drop("words").withColumnRenamed("held", "words")
+    rows = _folded(held, _filter_bits(vocabulary))
+    wanted = _filter_bits(asked.select(F.col("template_hash").alias("hash")).distinct())
+    places = _by_place(rows.withColumn("bits", wanted), "template", 1)
+    word = lambda j: F.get("template", F.col("pos") + j)
+    fits = lambda k: F.col("pos") + k <= F.size("template")
+    windows = {k: F.when(fits(k), F.xxhash64(*(word(j) for j in range(k)))) for k in sizes}
+    kinds = F.posexplode(F.array(*(windows[k] for k in sizes)) if sizes else F.array().cast("array<bigint>"))
+    places = places.select("*", kinds.alias("kind", "hash")).where(_passes(F.col("hash")))
+    k = F.get(F.array(*map(F.lit, sizes)) if sizes else F.array().cast("array<int>"), F.col("kind"))
+    cut = lambda name: F.slice(name, F.col("pos") + 1, k)
+    # the parts of a hit are cut out while code is generated, before a lambda takes whole rows over
+    parts = places.select("doc_id", "text_hash", "pos", "hash", F.explode(F.array(F.struct(k.alias("k"), cut("template").alias("part"), cut("words").alias("own")))).alias("hit"))
+    n_literal = F.size(F.filter("hit.part", lambda t: ~_is_slot(t)))
+    found = parts.select("doc_id", "text_hash", "hit.k", "pos", "hash", n_literal.alias("n_literal"), "hit.own")
     key, _ = _key(F.col("hash"), F.col("k"), F.col("n_literal"), F.col("own"), limits)
     found = found.select("doc_id", "text_hash", "k", "pos", "own", key.alias("hash"))
     found = found.withColumn("bits", _filter_bits(asked.select("hash").distinct())).where(_passes(F.col("hash"))).drop("bits")
