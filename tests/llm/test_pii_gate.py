@@ -32,3 +32,11 @@ def test_gate_changes_nothing(monkeypatch):
     monkeypatch.setattr(pii, "suspicious", lambda text: True)
     assert [t for t, g in zip(texts, gated) if pii.find(t) != g] == []
     assert sum(base != every for base, every in gated) > 100
+
+
+@pytest.mark.parametrize("n", [5_000, 1_000_000])
+def test_parts_of_any_number_of_digits(n):
+    zeros = "x " + "0" * n + ".1.1.1"
+    assert pii.find(zeros)[0]["ip"] == [(2, len(zeros))]
+    assert pii.find("x " + "9" * n + ".1.1.1")[0]["ip"] == []
+    assert pii.find("0.0.0.0 256.1.1.1")[0]["ip"] == [(0, 7)]

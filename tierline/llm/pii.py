@@ -55,7 +55,7 @@ def ips(text: str) -> Iterator[Span]:
     if not _IP_CORE.search(text):
         return
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+        if all(len(p := part.lstrip("0")) <= 3 and int(p or "0") <= 255 for part in m.group().split(".")):
             yield m.span()
 
 
