@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -40,3 +41,18 @@ def test_parts_of_any_number_of_digits(n):
     assert pii.find(zeros)[0]["ip"] == [(2, len(zeros))]
     assert pii.find("x " + "9" * n + ".1.1.1")[0]["ip"] == []
     assert pii.find("0.0.0.0 256.1.1.1")[0]["ip"] == [(0, 7)]
+
+
+@pytest.mark.parametrize("sign", ["\u00a0", "\u0430"])
+def test_disguised_texts_take_linear_time(sign):
+    start = time.monotonic()
+    assert pii.find(sign + " " * 1_000_000 + "x (at) y [dot] com")[1]["email"] == [(1_000_001, 1_000_019)]
+    addresses = sign + " " + "a@b.co, " * 100_000
+    assert len(pii.find(addresses)[1]["email"]) == 100_000
+    assert len(pii.find(sign + " " + "a (at) b (dot) co, " * 50_000)[1]["email"]) == 50_000
+    assert time.monotonic() - start < 30
+
+
+def test_brackets_one_after_another():
+    text = "joe (at) (at) x  [dot] [dot] org"
+    assert pii.signs(pii.fold(text)).text == "joe@@x..org"

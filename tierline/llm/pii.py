@@ -1,8 +1,8 @@
 """Personal data in texts: plain identifiers, and disguised ones found by an offset-preserving deobfuscation.
 
 The plain patterns run over the text itself. A text that shows signs of disguise also goes through a chain
-of transducers. Each rewrites a list of (character, start, end) triples, where start and end are the source
-characters that the character stands for: homoglyphs and foreign digits become ASCII, spelled digits become
+of transducers. Each rewrites a text with two arrays of offsets, the start and end of the source characters
+that each character stands for: homoglyphs and foreign digits become ASCII, spelled digits become
 digits, at/dot in words or brackets become signs. Identifiers found in the result are mapped back to the
 source characters and added where they overlap no plain one.
 """
@@ -12,9 +12,12 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_left, insort
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -115,7 +118,8 @@ SPELLED = {
 }
 _AT = "at|arobase|arroba"
 _DOT = "dot|punkt|point|punto"
-_BRACKETED = re.compile(rf"[ \t]*[\[({{<][ \t]*(?:({_AT}|@)|({_DOT}|\.))[ \t]*[\])}}>][ \t]*", re.IGNORECASE)
+# Blanks before a bracket are read from their first one only, so that long runs of them take linear time.
+_BRACKETED = re.compile(rf"(?:(?<![ \t])[ \t]++)?+[\[({{<][ \t]*(?:({_AT}|@)|({_DOT}|\.))[ \t]*[\])}}>][ \t]*", re.IGNORECASE)
 #: Endings of an address that is written in plain words.
 ENDINGS = "com|org|net|edu|gov|mil|int|info|biz|io|ai|app|dev|co|eu|uk|us|ca|au|de|fr|es|it|nl|ch|at|be|pl|pt|se|no|dk|fi|ie|br|mx|ar|cl|in|jp|cn|kr|ru"
 # In plain words the whole address must be there: name at host dot ending.
@@ -129,6 +133,7 @@ _SPELLED_RUN = re.compile(
     re.IGNORECASE,
 )
 _SPELLED_PART = re.compile(rf"plus|dot|point|{'|'.join(sorted(SPELLED, key=len, reverse=True))}", re.IGNORECASE)
+_GAP = re.compile("[ ,]+")
 # Signs of disguise, looked for in lower case; most texts show none and are done with one pass of each. Every
 # text that a transducer would change shows one of them.
 _ANY_DIGIT = "|".join(sorted(SPELLED, key=len, reverse=True))
@@ -137,7 +142,13 @@ _WORD_SIGNS = tuple(f" {w} " for w in _DOT.split("|"))
 _AT_SIGN = re.compile(rf" (?:{_AT}) [a-z0-9-]++(?:\.| (?:{_DOT}) )")
 _DIGIT_SIGN = re.compile(rf"\b(?:{_ANY_DIGIT})(?:[ ,-]+(?:dot |point )?|\.)(?:{_ANY_DIGIT}|[0-9])")
 
-Marked = list[tuple[str, int, int]]
+@dataclass
+class Marked:
+    """A rewritten text; the source characters start[i] to end[i] stand behind its character i."""
+
+    text: str
+    start: np.ndarray
+    end: np.ndarray
 
 
 @lru_cache(maxsize=4096)
@@ -152,36 +163,45 @@ def _plain_char(c: str) -> str:
     return folded if len(folded) == 1 and folded.isascii() else c
 
 
-def fold(marked: Marked) -> Marked:
+def fold(text: str) -> Marked:
     """Homoglyphs, full-width characters and digits of any script to ASCII; characters without width go."""
-    return [(p, a, b) for c, a, b in marked if (p := c if c.isascii() else _plain_char(c))]
+    at = np.arange(len(text))
+    if text.isascii():
+        return Marked(text, at, at + 1)
+    plain = {c: _plain_char(c) for c in set(text) if not c.isascii()}
+    gone = [ord(c) for c, p in plain.items() if not p]
+    if gone:
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        at = np.flatnonzero(~np.isin(codes, gone))
+    return Marked(text.translate({ord(c): p for c, p in plain.items()}), at, at + 1)
 
 
 def _replace(marked: Marked, cuts: list[tuple[int, int, str]]) -> Marked:
-    """`cuts`: places of the marked list and the text that takes their place; it stands for all of them."""
-    out: Marked = []
+    """`cuts`: places of the marked text and what takes their place; it stands for all of them."""
+    if not cuts:
+        return marked
+    texts, starts, ends = [], [], []
     at = 0
     for a, b, text in cuts:
-        out += marked[at:a]
-        out += [(c, marked[a][1], marked[b - 1][2]) for c in text]
+        texts += [marked.text[at:a], text]
+        starts += [marked.start[at:a], np.full(len(text), marked.start[a])]
+        ends += [marked.end[at:a], np.full(len(text), marked.end[b - 1])]
         at = b
-    return out + marked[at:]
+    return Marked("".join([*texts, marked.text[at:]]), np.concatenate([*starts, marked.start[at:]]), np.concatenate([*ends, marked.end[at:]]))
 
 
 def signs(marked: Marked) -> Marked:
     """at and dot in brackets, or in words where they make up a whole address."""
-    text = "".join(c for c, _, _ in marked)
-    marked = _replace(marked, [(m.start(), m.end(), "@" if m[1] else ".") for m in _BRACKETED.finditer(text)])
-    text = "".join(c for c, _, _ in marked)
+    marked = _replace(marked, [(m.start(), m.end(), "@" if m[1] else ".") for m in _BRACKETED.finditer(marked.text)])
     cuts = []
-    for m in _WORDED.finditer(text):
-        cuts += [(p.start(), p.end(), "@" if p[1] else ".") for p in _WORDED_PART.finditer(text, m.start(), m.end())]
+    for m in _WORDED.finditer(marked.text):
+        cuts += [(p.start(), p.end(), "@" if p[1] else ".") for p in _WORDED_PART.finditer(marked.text, m.start(), m.end())]
     return _replace(marked, cuts)
 
 
 def digits(marked: Marked) -> Marked:
     """Runs of four or more spelled digits to digits, without the blanks between them."""
-    text = "".join(c for c, _, _ in marked)
+    text = marked.text
     cuts = []
     for m in _SPELLED_RUN.finditer(text):
         parts = list(_SPELLED_PART.finditer(text, m.start(), m.end()))
@@ -190,16 +210,15 @@ def digits(marked: Marked) -> Marked:
         for p in parts:
             word = p[0].lower()
             cuts.append((p.start(), p.end(), SPELLED.get(word) or ("+" if word == "plus" else ".")))
-        for gap in re.compile("[ ,]+").finditer(text, m.start(), m.end() - 1):
+        for gap in _GAP.finditer(text, m.start(), m.end() - 1):
             cuts.append((gap.start(), gap.end(), ""))
     return _replace(marked, sorted(cuts))
 
 
 def disguised_spans(text: str) -> dict[str, list[Span]]:
     """Spans of the source characters of identifiers that show after deobfuscation."""
-    marked = digits(signs(fold([(c, i, i + 1) for i, c in enumerate(text)])))
-    found = plain_spans("".join(c for c, _, _ in marked))
-    return {k: [(marked[a][1], marked[b - 1][2]) for a, b in v] for k, v in found.items()}
+    marked = digits(signs(fold(text)))
+    return {k: [(int(marked.start[a]), int(marked.end[b - 1])) for a, b in v] for k, v in plain_spans(marked.text).items()}
 
 
 def suspicious(text: str) -> bool:
@@ -219,12 +238,19 @@ def find(text: str | None) -> tuple[dict[str, list[Span]], dict[str, list[Span]]
     base = plain_spans(text)
     if not suspicious(text):
         return base, base
-    taken = sorted(s for v in base.values() for s in v)
+    taken: list[Span] = []  # apart from each other and in order
+    for a, b in sorted(s for v in base.values() for s in v):
+        if taken and a < taken[-1][1]:
+            taken[-1] = (taken[-1][0], max(b, taken[-1][1]))
+        else:
+            taken.append((a, b))
     every = {k: list(v) for k, v in base.items()}
     for kind, spans in disguised_spans(text).items():
         for a, b in spans:
-            if all(b <= x or y <= a for x, y in taken):
-                taken.append((a, b))
+            # of all that begin before b only the last can reach beyond a
+            before = bisect_left(taken, (b, b))
+            if before == 0 or taken[before - 1][1] <= a:
+                insort(taken, (a, b))
                 every[kind].append((a, b))
     return base, {k: sorted(v) for k, v in every.items()}
 
