@@ -2,6 +2,7 @@ import itertools
 import math
 import random
 import re
+import time
 
 import pytest
 
@@ -69,3 +70,17 @@ def test_rows(spark):
     got = sorted(map(tuple, ht.extract(df).collect()), key=repr)
     assert got == sorted([(1, "u", "x y", 3), (2, None, "", 0), (None, "u", "", 0), (1, "u", "x y", 3)], key=repr)
     assert ht.extract(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("name", ["content", "content no-sidebar", "post-content has-comments", "page-header-fixed", "wrap withSidebar", "main-menu-collapsed"])
+def test_state_of_a_page_is_no_verdict(spark, name):
+    model = ht.learn(table(spark, "/root/testdata/sf0.001", "pages"))
+    lines = [f"Paragraph {i} tells a long story, with words, and more words in it, and so on." for i in range(4)]
+    page = f"<body><div class='{name}'>" + "".join(f"<p>{x}</p>" for x in lines) + "<div class='sidebar'><p>Related, and so on.</p></div></div></body>"
+    assert ht.main_text(page, model).split("\n") == lines
+
+
+def test_end_tags_that_match_none():
+    start = time.monotonic()
+    ht.parse("<div>" * 30_000 + "x" + "</section>" * 30_000)
+    assert time.monotonic() - start < 10

@@ -48,7 +48,11 @@ AGAINST_WORDS = (
     " recommended widget toolbar pagination pager login search searchbox copyright legal disclaimer skip hidden contentinfo complementary"
     " navigation banner form tags"
 )
+#: A class name that begins or ends with one of these tells the state of a page (no-sidebar,
+#: has-comments, header-fixed), not what its element is.
+STATE_FIRST, STATE_LAST = "no not non has have with without hide", "fixed sticky enabled disabled collapsed closed off"
 LABELLED = frozenset(FOR_TAGS.split())
+_STATE_FIRST, _STATE_LAST = frozenset(STATE_FIRST.split()), frozenset(STATE_LAST.split())
 _AGAINST = frozenset(AGAINST_TAGS.split())
 _AGAINST_WORDS = frozenset(AGAINST_WORDS.split())
 _ROOTS = frozenset(["", "html", "body"])
@@ -75,10 +79,15 @@ class Tree:
 
 
 def _names(attrs: str) -> tuple[str, ...]:
+    """Words of class, id and role. Those of a name of state are marked by ~: no fixed word speaks for or
+    against content there, only what the labelled pages show, and the text inside decides."""
     found: list[str] = []
     if "=" in attrs:
         for m in _NAMED.finditer(attrs):
-            found += _WORD.findall(_CAMEL.sub(" ", m[2] or m[3] or m[4] or "").lower())
+            for name in (m[2] or m[3] or m[4] or "").split():
+                words = _WORD.findall(_CAMEL.sub(" ", name).lower())
+                state = len(words) > 1 and (words[0] in _STATE_FIRST or words[-1] in _STATE_LAST)
+                found += [f"~{w}" for w in words] if state else words
     if attrs and _HIDDEN.search(attrs):
         found.append("hidden")
     return tuple(dict.fromkeys(found))
@@ -88,6 +97,7 @@ def parse(page: str) -> Tree:
     """The tree of block elements. Unclosed, wrongly nested and cut off tags are put up with."""
     tree = Tree()
     stack, parts = [0], []
+    open_tags: Counter[str] = Counter()
     state = {"linked": 0, "in_link": 0}
 
     def flush() -> None:
@@ -98,6 +108,10 @@ def parse(page: str) -> Tree:
             parts.clear()
         state["linked"] = 0
 
+    def close(depth: int) -> None:
+        open_tags.subtract(tree.tag[node] for node in stack[depth:])
+        del stack[depth:]
+
     def add(raw: str) -> None:
         if raw:
             text = html.unescape(raw) if "&" in raw else raw
@@ -130,17 +144,15 @@ def parse(page: str) -> Tree:
             continue
         flush()
         if m["end"]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if tree.tag[stack[depth]] == tag:
-                    del stack[depth:]
-                    state["in_link"] = 0
-                    break
+            if open_tags[tag]:
+                close(next(d for d in range(len(stack) - 1, 0, -1) if tree.tag[stack[d]] == tag))
+                state["in_link"] = 0
             continue
         closes, within = _ENDS.get(tag, frozenset()), _SCOPE.get(tag, frozenset())
         for depth in range(len(stack) - 1, 0, -1):
             open_ = tree.tag[stack[depth]]
             if open_ in closes or open_ == "p":
-                del stack[depth:]
+                close(depth)
                 if open_ in closes and tag not in ("td", "th", "tr", "thead", "tbody", "tfoot"):
                     break
             elif open_ in within or open_ not in ("td", "th", "tr", "thead", "tbody", "tfoot"):
@@ -150,6 +162,7 @@ def parse(page: str) -> Tree:
         tree.words.append(_names(m["attrs"] or ""))
         if tag not in VOID:
             stack.append(len(tree.tag) - 1)
+            open_tags[tag] += 1
     flush()
     return tree
 
