@@ -1,7 +1,8 @@
 """Mixing sources to target weights by cube-method balanced sampling.
 
 A source with target t and size s is taken floor(t / s) times in whole; one more copy of a document is drawn
-with the inclusion probability that is left. The draw is balanced on two totals per source, words and
+with the inclusion probability that is left. Of n equal rows floor(n * probability) are taken once more outright
+and one more is drawn with the rest. The draw is balanced on two totals per source, words and
 documents: three documents at a time, their probabilities move along the null space of the two constraints
 until one of them reaches 0 or 1 (flight). Blocks of a source fly on their own, at most two documents of a
 block stay undecided, and those of many blocks fly together at the next level, until one block per source is
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tierline.llm.common import grouped, small_batches, word_count
+from tierline.operators.ordered import running
 from tierline.sources.sink import stage
 
 #: Weights in turn, for sources in order of code point, null last.
@@ -114,7 +116,7 @@ def _flight(level: int, last: set[int]):
 
 
 def _units(docs: DataFrame) -> DataFrame:
-    """One row per (doc_id, source, text): rows alike in all three are taken alike."""
+    """One row per (doc_id, source, text) and the number of rows alike in all three."""
     text = F.col("text").cast("string")
     return (
         docs.select(
@@ -129,8 +131,8 @@ def _units(docs: DataFrame) -> DataFrame:
 
 
 def mix_units(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """(doc_id, source, size, text_hash, copies, source_size, target, times): how often each document is
-    taken. One row per source comes to the driver."""
+    """(doc_id, source, size, text_hash, copies, source_size, target, times, more): each of `copies` equal rows
+    is taken `times` times, and `more` of them once more. One row per source comes to the driver."""
     spark = docs.sparkSession
     small_batches(spark, 10_000)
     units = stage(_units(docs), "units")
@@ -149,9 +151,11 @@ def mix_units(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float
     )
     units = units.join(F.broadcast(sources), units["source"].eqNullSafe(sources["source"])).drop(sources["source"])
     keys = ["doc_id", "source", "size", "text_hash"]
-    now = units.where("size > 0 and chance > 0").select(
+    # of equal rows only what is left of one copy takes part in the draw
+    units = units.withColumn("outright", F.floor(F.col("chance") * F.col("copies")))
+    now = units.withColumn("rest", F.col("chance") * F.col("copies") - F.col("outright")).where("size > 0 and rest > 0").select(
         *keys, "place", F.expr("pmod(xxhash64(doc_id, text_hash), blocks)").alias("block"),
-        (F.col("size") * F.col("copies")).alias("words"), "copies", "chance",
+        F.col("size").alias("words"), F.lit(1).cast("long").alias("copies"), F.col("rest").alias("chance"),
     )
     level, settled = 0, []
     while True:
@@ -182,38 +186,52 @@ def mix_units(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float
     same = [units[k].eqNullSafe(drawn[k]) for k in keys]
     return units.join(drawn, same, "left").select(
         *[units[k] for k in keys], "copies", "source_size", "target",
-        (F.col("whole") + F.coalesce("extra", F.lit(0))).alias("times"),
+        F.col("whole").cast("long").alias("times"), (F.col("outright") + F.coalesce("extra", F.lit(0))).alias("more"),
     )
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """doc_id, source, size, source_size, target, taken for each row of `docs` (doc_id, text, source).
 
-    A null or empty text has no words and nothing is taken of it. Null is a source of its own. Rows that are
-    alike in doc_id, source and text are taken alike; null doc_ids are documents like others. A source
+    A null or empty text has no words and nothing is taken of it. Null is a source of its own. Of rows that are
+    alike in doc_id, source and text some may be taken once more than others, as the target asks; null doc_ids
+    are documents like others. A source
     without words has target 0. No documents give no rows. Reruns give the same rows, whatever the
     partitioning.
     """
     units = mix_units(docs, weights, share, most)
     return units.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("size") * F.col("times")).alias("taken")
+        "doc_id", "source", "size", "source_size", "target",
+        (F.col("size") * (F.col("times") + (F.col("copy") <= F.col("more")).cast("long"))).alias("taken"),
     )
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """The rows of `docs` as often as the mix takes them; documents without words are not taken."""
-    units = mix_units(docs, weights, share, most).where("size > 0 and times > 0")
-    chosen = units.select(
-        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_hash").alias("_hash"), F.col("times").alias("_times")
-    )
+    """The rows of `docs` as often as the mix takes them; documents without words are not taken.
+
+    Equal rows that are not all taken alike are numbered in the order of a hash of all their columns; the first
+    are taken once more. The numbering is spread over ranges, so that many equal rows do not meet in one task.
+    """
+    units = stage(mix_units(docs, weights, share, most).where("size > 0 and times + more > 0"), "taken")
     text = F.col("text").cast("string")
-    same = (
-        F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
-        & F.col("source").cast("string").eqNullSafe(F.col("_source"))
-        & (F.xxhash64(text, text.isNull()) == F.col("_hash"))
-    )
-    return (
-        docs.join(chosen, same)
-        .withColumn("_times", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
-        .select(docs.columns)
-    )
+    rows = docs.select(
+        F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("source").cast("string").alias("source"), F.xxhash64(text, text.isNull()).alias("text_hash"),
+    )
+    keys = ["doc_id", "source", "text_hash"]
+
+    def of(chosen: DataFrame) -> DataFrame:
+        same = [rows[k].eqNullSafe(chosen[k]) for k in keys]
+        return rows.join(chosen, same).select(*[rows[k] for k in keys], "row", "times", "more")
+
+    alike = units.withColumn("times", F.col("times") + (F.col("more") == F.col("copies")).cast("long")).where("more in (0, copies) and times > 0")
+    out = of(alike).select("row", "times")
+    parted = units.where("more > 0 and more < copies")
+    if not parted.isEmpty():
+        placed = stage(
+            of(parted).select("*", F.xxhash64(F.to_json("row")).alias("order"), F.monotonically_increasing_id().alias("id"), F.lit(1).alias("one")),
+            "parted",
+        )
+        counted = running(placed, keys, [("order", "asc"), ("id", "asc")], "one", "sum", "nth")
+        out = out.union(counted.select("row", F.col("times") + (F.col("nth") <= F.col("more")).cast("long")))
+    return out.where("times > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).select("row.*")
