@@ -41,7 +41,29 @@ def test_near_duplicates_against_all_pairs(spark):
             root[high] = low
     kept = cp.drop_near_duplicates(spark, df, SF)
     assert kept.columns == cp.COLUMNS
-    assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == sorted([d for d, _ in sets if find(d) == d] + [None], key=repr)
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(d for d, _ in sets if find(d) == d)
+
+
+def test_repeated_and_shared_ids(spark):
+    same, other = "one two three four five six seven", "eight nine ten eleven twelve thirteen fourteen"
+    rows = [(same, 1, 7, "en", "s", 0), (same, 1, 7, "en", "s", 0), (same, 1, None, "en", "s", 0), (other, 1, 7, "en", "s", 0)]
+    rows += [(other, 1, None, "en", "s", 0), ("alone without an id", 1, None, "en", "s", 0), ("alone without an id", 1, None, "en", "s", 0)]
+    rows += [(None, 1, 8, None, None, 0), (None, 1, 8, None, None, 0)]
+    kept = cp.drop_near_duplicates(spark, spark.createDataFrame(rows, SCHEMA), SF).collect()
+    want = [(7, same), (7, other), (None, "alone without an id"), (8, None), (8, None)]
+    assert sorted(((r["doc_id"], r["text"]) for r in kept), key=repr) == sorted(want, key=repr)
+
+
+def test_toxic_rows_go_by_their_text(spark):
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    judged = toxicity(docs, labels).join(docs.select("doc_id", "text"), "doc_id")
+    bad, good = (judged.where(f"predicted = {p}").orderBy("doc_id").first() for p in (1, 0))
+    extra = [(bad["text"], 1, None, "en", "s"), (bad["text"], 1, good["doc_id"], "en", "s"), (good["text"], 1, None, "en", "s")]
+    extra = spark.createDataFrame(extra, "text string, n_chars long, doc_id long, lang string, source string")
+    kept = cp.drop_toxic(spark, docs.select(cp.COLUMNS).unionByName(extra.selectExpr(*(f"cast({c} as {t}) {c}" for c, t in docs.select(cp.COLUMNS).dtypes))), SF)
+    found = {(r["doc_id"], r["text"]) for r in kept.select("doc_id", "text").collect()}
+    assert (good["doc_id"], good["text"]) in found and (None, good["text"]) in found
+    assert not {t for _, t in found} & {bad["text"]}
 
 
 def test_each_stage_works_on_what_the_one_before_kept(spark):

@@ -189,9 +189,9 @@ def _featurise(known, keep: Sequence[str]):
 _COLUMNS = ", ".join(f"{n} double" for n in NAMES)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, carry: Sequence[str] = ()) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of `docs` (doc_id, text), learned from `labels`
-    (doc_id, toxic) of documents that are not held out.
+    (doc_id, toxic) of documents that are not held out. Columns of `docs` named in `carry` come along.
 
     A null text scores as an empty one. Null and repeated doc_ids are rows like others; a null doc_id counts
     as held out. If the labelled rows are all of one kind, every score is their share of toxic ones; without
@@ -203,10 +203,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> DataFram
     sample = stage(sample.withColumn("label", F.least(F.greatest("label", F.lit(0)), F.lit(1))), "toxic-sample")
     shares = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     key = F.col("doc_id").cast("long")
-    texts = docs.select(key.alias("doc_id"), held_out(key).alias("held_out"), F.col("text").cast("string").alias("text"))
+    texts = docs.select(key.alias("doc_id"), held_out(key).alias("held_out"), F.col("text").cast("string").alias("text"), *carry)
     if len(shares) < 2:
         share = float(shares.get(1, 0) > 0)
-        return texts.select("doc_id", "held_out", F.lit(share).alias("score"), F.lit(int(share >= 0.5)).alias("predicted"))
+        return texts.select("doc_id", *carry, "held_out", F.lit(share).alias("score"), F.lit(int(share >= 0.5)).alias("predicted"))
     found = sample.where("part > 0").repartition(1).mapInArrow(_learn, "kind int, hash long, weight double").collect()
     known = []
     for k in range(len(_STEMS)):
@@ -230,10 +230,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> DataFram
     if judged.isEmpty():
         judged = raw(trees.transform(ready)).select("label", "raw")
     steps = IsotonicRegression(featuresCol="raw", labelCol="label").fit(judged)
-    features = texts.mapInArrow(_featurise(known, ["doc_id", "held_out"]), f"doc_id long, held_out boolean, {_COLUMNS}")
+    carried = "".join(f"`{c}` {t}, " for c, t in texts.select(*carry).dtypes)
+    features = texts.mapInArrow(_featurise(known, ["doc_id", *carry, "held_out"]), f"doc_id long, {carried}held_out boolean, {_COLUMNS}")
     scored = steps.transform(raw(trees.transform(gather.transform(features))).drop("prediction"))
     # a little of the trees' own order breaks ties within a step
     score = F.least(F.greatest(0.99 * F.col("prediction") + 0.01 * F.col("raw"), F.lit(0.0)), F.lit(1.0))
-    return scored.select("doc_id", "held_out", score.alias("score")).withColumn(
+    return scored.select("doc_id", *carry, "held_out", score.alias("score")).withColumn(
         "predicted", (F.col("score") >= 0.5).cast("int")
     )
