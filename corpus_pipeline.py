@@ -23,20 +23,31 @@ from tierline.sources.sink import stage
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    return docs.select(COLUMNS).join(gone.select("doc_id").distinct(), "doc_id", "left_anti")
+def _text_hash(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.withColumn("text_hash", F.xxhash64(text, text.isNull()))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents predicted toxic go, by a model of the labelled ones among them. A row without doc_id stays;
-    rows that share a doc_id go together."""
-    return _without(docs, toxicity(docs, table(spark, sf_dir, "labels")).where("predicted = 1"))
+    """Documents predicted toxic go, by a model of the labelled ones among them. Each row goes by its own text,
+    with or without a doc_id, whatever other rows share the doc_id."""
+    docs = _text_hash(docs.select(COLUMNS))
+    gone = toxicity(docs, table(spark, sf_dir, "labels"), carry=["text_hash"]).where("predicted = 1").select("doc_id", "text_hash").distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(gone["doc_id"]) & (docs["text_hash"] == gone["text_hash"])
+    return docs.join(gone, same, "left_anti").select(COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that links of similarity 0.8 over five-word shingles connect, the document with the
-    least doc_id stays. Documents without words stay, and so do those without a doc_id."""
-    return _without(docs, ngram_components(docs, Rule(words=5, num=80, den=100)).where("doc_id <> component_id"))
+    """Of each group that links of similarity 0.8 over five-word shingles connect, one row stays: that of the
+    least doc_id, null last, then of the least hash of the text; of rows alike in both, one. Documents without
+    words stay."""
+    rows = stage(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "numbered")
+    groups = ngram_components(rows.select(F.col("row").alias("doc_id"), "text"), Rule(words=5, num=80, den=100))
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash", "row")
+    ordered = _text_hash(rows).select("row", order.alias("order"))
+    members = groups.select(F.col("doc_id").alias("row"), "component_id")
+    kept = members.join(ordered, "row").groupBy("component_id").agg(F.min("order").alias("first")).select("first.row")
+    return rows.join(kept, "row", "left_semi").select(COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
