@@ -55,12 +55,13 @@ def test_repeated_and_shared_ids(spark):
 
 
 def test_toxic_rows_go_by_their_text(spark):
-    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    sf = SF.replace("0.001", "0.01")
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
     judged = toxicity(docs, labels).join(docs.select("doc_id", "text"), "doc_id")
-    bad, good = (judged.where(f"predicted = {p}").orderBy("doc_id").first() for p in (1, 0))
+    bad, good = (judged.where(f"held_out and predicted = {p}").orderBy("doc_id").first() for p in (1, 0))
     extra = [(bad["text"], 1, None, "en", "s"), (bad["text"], 1, good["doc_id"], "en", "s"), (good["text"], 1, None, "en", "s")]
     extra = spark.createDataFrame(extra, "text string, n_chars long, doc_id long, lang string, source string")
-    kept = cp.drop_toxic(spark, docs.select(cp.COLUMNS).unionByName(extra.selectExpr(*(f"cast({c} as {t}) {c}" for c, t in docs.select(cp.COLUMNS).dtypes))), SF)
+    kept = cp.drop_toxic(spark, docs.select(cp.COLUMNS).unionByName(extra.selectExpr(*(f"cast({c} as {t}) {c}" for c, t in docs.select(cp.COLUMNS).dtypes))), sf)
     found = {(r["doc_id"], r["text"]) for r in kept.select("doc_id", "text").collect()}
     assert (good["doc_id"], good["text"]) in found and (None, good["text"]) in found
     assert not {t for _, t in found} & {bad["text"]}
