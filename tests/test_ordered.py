@@ -82,6 +82,24 @@ def test_average_rank_like_pandas(spark):
     assert {r["id"]: r["rank"] for r in O.average_rank(df, "v").collect()} == want
 
 
+@pytest.mark.parametrize("hot", [0.0, None])
+def test_average_rank_with_a_hot_value(spark, hot):
+    """Nine rows of ten share a value: they are ranked alike, and the join spreads them over all tasks."""
+    rows = [(i, hot if i % 10 else float(i)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "id long, v double")
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        out = O.average_rank(df, "v", "r").withColumn("task", F.spark_partition_id()).toPandas()
+    finally:
+        spark.conf.set(name, before)
+    want = dict(zip(range(4000), pd.Series([v for _, v in rows], dtype="float").rank(ascending=False)))
+    assert len(out) == 4000 and all(pd.isna(r) and pd.isna(want[i]) or r == int(want[i]) for i, r in zip(out["id"], out["r"]))
+    tasks = out["task"].value_counts()
+    assert len(tasks) > 1 and tasks.max() < 2 * tasks.mean()
+
+
 def test_percentiles_equal_builtin(spark):
     df = numbers(spark, 800, 60)
     shares = {"p1": 0.01, "p25": 0.25, "p50": 0.5, "p90": 0.9}

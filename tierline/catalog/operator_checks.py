@@ -61,6 +61,34 @@ def _(t):
     return scan.scan_csv(t.spark, path, "pol_num long, po_num long, pol_stat_cd string, tot_ape double")
 
 
+@query(
+    "scan_csv_checked",
+    """select pol_stat_cd, count(*) as n, sum(case when pol_num % 7 = 0 then 1 else 0 end) as n_bad from policy group by pol_stat_cd""",
+)
+def _(t):
+    """Every seventh policy number is no number: its line is counted from the lines that do not fit."""
+    path = sink.fresh_path(t.spark, "csv")
+    number = F.when(c("pol_num") % 7 == 0, F.concat(F.lit("no"), "pol_num")).otherwise(c("pol_num").cast("string"))
+    sink.export_csv(t["policy"].select(number.alias("pol_num"), "pol_stat_cd"), path)
+    wanted = T.StructType().add("pol_num", "long").add("pol_stat_cd", "string")
+    rows, lines = scan.scan_csv_checked(t.spark, path, wanted)
+    bad = lines.select(F.substring_index("line", ",", -1).alias("pol_stat_cd"), F.lit(1).alias("bad"))
+    both = rows.select("pol_stat_cd", F.lit(0).alias("bad")).unionByName(bad)
+    return both.groupBy("pol_stat_cd").agg(F.count("*").alias("n"), F.sum("bad").alias("n_bad"))
+
+
+@query(
+    "scan_snapshot_or_latest",
+    """select pol_num, tot_ape, year(pol_eff_dt) as eff_year from policy where year(pol_eff_dt) = (select coalesce(
+       max(case when year(pol_eff_dt) <= 1996 then year(pol_eff_dt) end), max(year(pol_eff_dt))) from policy)""",
+)
+def _(t):
+    path = sink.fresh_path(t.spark, "snapshots")
+    rows = t["policy"].select("pol_num", "tot_ape", F.year("pol_eff_dt").alias("eff_year"))
+    sink.write_partitions(rows, path, ["eff_year"])
+    return scan.scan_snapshot_or_latest(t.spark, path, "eff_year", 1996)
+
+
 @query("scan_table", "select pol_stat_cd, count(*) as n from policy group by pol_stat_cd")
 def _(t):
     t["policy"].createOrReplaceTempView("tierline_policy")

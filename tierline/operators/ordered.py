@@ -14,12 +14,15 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tierline.sources.sink import stage
 
 # An order is a list of (column, "asc" | "desc"); NULLs come last in both directions.
 Order = Sequence[tuple[str, str]]
 
+_HOT_SHARE = 64  # a value with more than one row in so many is hot
+
 _ROW_BITS = 33  # monotonically_increasing_id: partition number above, row number below
 
 
@@ -190,14 +193,31 @@ def asof_last(
 def average_rank(df: DataFrame, col: str, name: str = "rank") -> DataFrame:
     """Descending rank, ties sharing the mean of their places, cut to an integer; NULL for NULL.
 
-    Works on one row per distinct value: places before it plus half of its own.
+    Works on one row per distinct value: places before it plus half of its own. Values that hold more than one
+    row in _HOT_SHARE - fewer than _HOT_SHARE of them - are looked up in a small map; only the others meet their
+    rank in a join, where no key can be hot. Rows that need no join are spread by a hash of the row.
     """
     counts = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count("*").alias("_n"))
-    ranks = running(counts, [], [(col, "desc")], "_n", "sum", "_upto").select(
-        F.col(col).alias("_value"),
-        F.floor(F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / F.lit(2)).cast("int").alias(name),
+    placed = running(counts, [], [(col, "desc")], "_n", "sum", "_upto")
+    ranks = stage(
+        placed.select(
+            F.col(col).alias("_value"),
+            F.floor(F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / F.lit(2)).cast("int").alias("_rank"),
+            F.col("_n"),
+        ),
+        "ranks",
+    )
+    total = ranks.agg(F.sum("_n").alias("total")).scalar()
+    hot = F.col("_n") * _HOT_SHARE > total
+    entries = ranks.filter(hot).agg(F.map_from_entries(F.collect_list(F.struct("_value", "_rank"))).alias("hot")).scalar()
+    others = ranks.filter(~hot).select("_value", "_rank", F.xxhash64("_value").alias("_spread"))
+    plain = [F.col(f.name) for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    known = df.withColumn("_known", F.when(F.col(col).isNotNull(), F.element_at(entries, F.col(col))))
+    key = F.when(F.col("_known").isNull(), F.col(col))
+    keyed = known.select("*", key.alias("_key"), F.when(key.isNotNull(), F.xxhash64(key)).otherwise(F.xxhash64(*plain)).alias("_s"))
+    return keyed.join(others, (F.col("_key") == F.col("_value")) & (F.col("_s") == F.col("_spread")), "left").select(
+        *df.columns, F.coalesce("_known", "_rank").alias(name)
     )
-    return df.join(ranks, F.col(col) == F.col("_value"), "left").drop("_value")
 
 
 def percentiles(
