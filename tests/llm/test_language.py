@@ -52,3 +52,29 @@ def test_rows(spark):
     assert {k: got[k] for k in (30, 31, 32, None, 33, 35)} == {30: "und", 31: "und", 32: "und", None: "de", 33: "en", 35: "en"}
     assert language.languages(df.limit(0)).collect() == []
     assert {r["lang_pred"] for r in language.languages(df.withColumn("lang", df["lang"].substr(9, 1)).where("doc_id < 3").drop("lang").selectExpr("*", "cast(null as string) as lang")).collect()} == {"und"}
+
+
+def test_scripts_keep_their_letters(spark):
+    """Three languages of one script of many letters each, next to a Latin one: no alphabet crowds out another."""
+    rnd = random.Random(4)
+    first = {"aa": 0x4E00, "bb": 0x5000, "cc": 0x3B1, "dd": 0x61}
+    words = {k: ["".join(chr(a + rnd.randrange(240 if a > 0x4000 else 24)) for _ in range(4)) for _ in range(60)] for k, a in first.items()}
+    rows = [(" ".join(rnd.choices(words[k], k=80)), k, i * 4 + j, "s", 0) for i in range(30) for j, k in enumerate(first)]
+    out = language.languages(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {(r["doc_id"], r["lang_pred"]) for r in out} == {(i, k) for _, k, i, _, _ in rows}
+
+
+def test_training_texts_are_bounded_and_from_whole_texts(spark):
+    """One id with very many equal rows brings one piece; pieces do not all stand at the head of their texts."""
+    same = [("the cat " * 5, "en", 1, "s", 0)] * 10000
+    long = [("a" * 50000 + "b" * 50000, "en", i, "s", 0) for i in range(2, 40)]
+    got = language.training_texts(spark.createDataFrame(same + long, SCHEMA))["en"]
+    assert got.count("the cat " * 5) == 1 and len(got) <= language.DOCS_PER_LANGUAGE
+    assert max(map(len, got)) == language.CHARACTERS_PER_DOC
+    assert any("b" in t for t in got) and any("a" in t for t in got)
+
+
+def test_a_language_without_letters(spark):
+    rows = [("12 34 56", "nn", i, "s", 0) for i in range(9)] + [("the cat and the dog", "en", i, "s", 0) for i in range(9, 30)]
+    out = language.languages(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r["lang_pred"] for r in out if r["doc_id"] >= 9} == {"en"} and {r["lang_pred"] for r in out if r["doc_id"] < 9} == {"und"}

@@ -2,8 +2,9 @@
 
 For each language the suffix automaton of a bounded sample of labelled text is built. A text is parsed
 greedily into the longest phrases that occur in the sample; the language that needs the fewest phrases per
-letter wins. Automata are tables (state, letter) -> state; a text runs through them in pieces side by side,
-one letter of all pieces at a time.
+letter wins. Automata are tables (state, letter) -> state, each over the letters of its own language, so that
+languages of other scripts take nothing from each other. A text runs through them in pieces side by side, one
+letter of all pieces at a time.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ from tierline.llm.common import chunks, held_out, small_batches
 #: Documents of a language and letters of them that its automaton is built of, at most.
 DOCS_PER_LANGUAGE = 80
 LETTERS_PER_LANGUAGE = 24_000
-#: Letters that have a column of their own; the rarer ones are in no phrase.
-ALPHABET = 60
+#: Characters of a document that it can bring to the sample, from a place that a hash of its id gives.
+CHARACTERS_PER_DOC = 3_000
+#: Letters of one language that have a column of their own, the most frequent ones; the others are in no phrase.
+ALPHABET = 250
 #: Letters of a piece: a phrase ends with it.
 PIECE = 512
 UNKNOWN = "und"
@@ -48,11 +51,8 @@ class Letters:
         self.size = len(self.known) + 2
         self._table: np.ndarray | None = None
 
-    def __getstate__(self):
-        return self.known
-
-    def __setstate__(self, known):
-        self.__init__(known)
+    def __reduce__(self):
+        return Letters, (self.known,)
 
     def codes(self, text: str) -> np.ndarray:
         if self._table is None:
@@ -99,27 +99,27 @@ def automaton(codes: Sequence[int], size: int) -> np.ndarray:
     return out
 
 
-def learn(samples: dict[str, list[str]]) -> tuple[Letters, list[tuple[str, np.ndarray]]]:
-    """The alphabet and each language's automaton, languages in order of code point."""
-    seen: Counter[int] = Counter()
-    for texts in samples.values():
-        for text in texts:
-            seen.update(p for p in _points(text[:LETTERS_PER_LANGUAGE]).tolist() if _is_letter()[p])
-    letters = Letters(sorted(p for p, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:ALPHABET]))
+Model = tuple[str, Letters, np.ndarray]
+
+
+def learn(samples: dict[str, list[str]]) -> list[Model]:
+    """Each language's alphabet and automaton, languages in order of code point."""
     models = []
     for lang in sorted(samples):
-        texts, share = samples[lang], max(1, LETTERS_PER_LANGUAGE // max(1, len(samples[lang])))
+        texts = samples[lang]
+        seen: Counter[int] = Counter()
+        for text in texts:
+            seen.update(p for p in _points(text).tolist() if _is_letter()[p])
+        letters = Letters(sorted(p for p, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:ALPHABET]))
+        codes = [letters.codes(text) for text in texts]
+        share = max(1, LETTERS_PER_LANGUAGE // max(1, len(texts)))
         parts, room = [], LETTERS_PER_LANGUAGE
-        for least in (share, LETTERS_PER_LANGUAGE):  # an even share of each, then what room is left
-            if room > 0:
-                codes = [letters.codes(t) for t in texts]
-                taken = [c[:share] if least == share else c[share:] for c in codes]
-                for c in taken:
-                    if room > 0:
-                        parts += [*c[:room].tolist(), 0]
-                        room -= len(c[:room])
-        models.append((lang, automaton(parts, letters.size)))
-    return letters, models
+        for taken in [c[:share] for c in codes] + [c[share:] for c in codes]:  # an even share of each, then what room is left
+            if room > 0 and len(taken):
+                parts += [*taken[:room].tolist(), 0]
+                room -= len(taken[:room])
+        models.append((lang, letters, automaton(parts, letters.size)))
+    return models
 
 
 def phrases(pieces: np.ndarray, lengths: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -141,39 +141,39 @@ def phrases(pieces: np.ndarray, lengths: np.ndarray, table: np.ndarray) -> np.nd
     return count
 
 
-def rates(texts: Sequence[str], letters: Letters, models: Sequence[tuple[str, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+def rates(texts: Sequence[str], models: Sequence[Model]) -> tuple[np.ndarray, np.ndarray]:
     """Phrases per letter of each text and language, and whether the text has a letter."""
-    codes = [letters.codes(t) for t in texts]
-    total = np.array([len(c) for c in codes])
-    has = np.array([bool(c.any()) for c in codes], bool)
-    owner, starts = [], []
-    for i, n in enumerate(total.tolist()):
-        cuts = range(0, n, PIECE)
-        owner += [i] * len(cuts)
-        starts += cuts
-    owner, starts = np.array(owner, np.int64), np.array(starts, np.int64)
-    lengths = np.minimum(PIECE, total[owner] - starts) if len(owner) else np.zeros(0, np.int64)
-    order = np.argsort(-lengths, kind="stable")
-    owner, starts, lengths = owner[order], starts[order], lengths[order]
-    pieces = np.zeros((int(lengths.max(initial=0)), len(lengths)), np.uint8)
-    for k, (i, a, n) in enumerate(zip(owner.tolist(), starts.tolist(), lengths.tolist())):
-        pieces[:n, k] = codes[i][a : a + n]
+    total, has = np.zeros(len(texts), np.int64), np.zeros(len(texts), bool)
     out = np.zeros((len(texts), len(models)))
-    for m, (_, table) in enumerate(models):
+    for m, (_, letters, table) in enumerate(models):
+        codes = [letters.codes(t) for t in texts]
+        if m == 0:  # what is a letter does not hang on the language, so that lengths and pieces are those of all
+            total = np.array([len(c) for c in codes], np.int64)
+            has = np.array([bool(c.any()) for c in codes], bool)
+            cuts = [range(0, n, PIECE) for n in total.tolist()]
+            owner = np.repeat(np.arange(len(texts)), [len(c) for c in cuts])
+            starts = np.array([at for c in cuts for at in c], np.int64)
+            lengths = np.minimum(PIECE, total[owner] - starts)
+            order = np.argsort(-lengths, kind="stable")
+            owner, starts, lengths = owner[order], starts[order], lengths[order]
+            places = list(enumerate(zip(owner.tolist(), starts.tolist(), lengths.tolist())))
+        pieces = np.zeros((int(lengths.max(initial=0)), len(lengths)), np.uint8)
+        for k, (i, a, n) in places:
+            pieces[:n, k] = codes[i][a : a + n]
         out[:, m] = np.bincount(owner, phrases(pieces, lengths, table), len(texts))
     return out / np.maximum(total, 1)[:, None], has
 
 
 def _predict(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters, models = model.value
+        models = model.value
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             langs: list[str] = []
             scores: list[float] = []
             for first, raws in chunks(texts):
                 part = texts[first : first + len(raws)]
-                rate, has = rates(part, letters, models)
+                rate, has = rates(part, models)
                 for row, known in zip(rate, has.tolist()):
                     if not known or not models:
                         langs.append(UNKNOWN)
@@ -192,19 +192,23 @@ def _predict(model):
 
 
 def training_texts(docs: DataFrame) -> dict[str, list[str]]:
-    """Up to DOCS_PER_LANGUAGE texts of each language by a hash of doc_id, never held-out ones. Ids are chosen
-    first; texts are fetched for these only and come to the driver, cut to LETTERS_PER_LANGUAGE."""
-    key = F.col("doc_id").cast("long")
-    known = docs.select(key.alias("_id"), F.col("lang").cast("string").alias("_lang")).where(
-        F.col("_id").isNotNull() & F.col("_lang").isNotNull() & ~held_out(F.col("_id"))
-    )
-    place = F.row_number().over(Window.partitionBy("_lang").orderBy(F.xxhash64("_id"), "_id"))
-    chosen = known.withColumn("place", place).where(F.col("place") <= DOCS_PER_LANGUAGE).select("_id").distinct()
+    """Up to DOCS_PER_LANGUAGE different rows of each language by a hash of doc_id, never held-out ones. They are
+    chosen by id and a hash of the text first, a repeated row once. Of each chosen text the CHARACTERS_PER_DOC from a
+    place that a hash of the id gives come to the driver: at most DOCS_PER_LANGUAGE pieces for each language."""
+    known = docs.select(
+        F.col("doc_id").cast("long").alias("_id"),
+        F.col("lang").cast("string").alias("lang"),
+        F.col("text").cast("string").alias("text"),
+    ).where(F.col("_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("_id")))
+    hashed = known.withColumn("_hash", F.xxhash64("text"))
+    place = F.dense_rank().over(Window.partitionBy("lang").orderBy(F.xxhash64("_id"), "_id", "_hash"))
+    chosen = hashed.select("lang", "_id", "_hash").withColumn("_place", place).where(F.col("_place") <= DOCS_PER_LANGUAGE)
+    room = F.greatest(F.length("text") - CHARACTERS_PER_DOC, F.lit(0)) + 1
+    start = (F.pmod(F.xxhash64("_id"), room) + 1).cast("int")
     rows = (
-        docs.select(key.alias("_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-        .join(F.broadcast(chosen), "_id")
-        .where("lang is not null and text is not null")
-        .select("lang", "_id", F.substring("text", 1, LETTERS_PER_LANGUAGE // 8).alias("text"))
+        hashed.join(F.broadcast(chosen.select("lang", "_id", "_hash").distinct()), ["lang", "_id", "_hash"])
+        .select("lang", "_id", F.substring("text", start, F.lit(CHARACTERS_PER_DOC)).alias("text"))
+        .distinct()
         .collect()
     )
     out: dict[str, list[str]] = {}
