@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tierline.operators import joins as J
+from tierline.plans import customers as K
 
 
 def broadcasts(df):
@@ -22,3 +23,25 @@ def test_unfolded_dates_are_merged(spark):
         pairs = J.interval_join(left, dates_per_plan(spark), ["k"], "d", "e", 0, 2, how)
         assert broadcasts(pairs) == 0
         assert pairs.count() == rows
+
+
+ROLES = ["agency", "dmtm", "other_channel", "other_channel_affinity", "banca_other_banks", "banca_scb", "banca_tcb"]
+
+
+def test_margins_of_unfolded_quarters_are_merged(spark):
+    # Two rows of one plan: each counts for the roles that it has a margin in.
+    own = {0: (1, {"agency": 0.1}), 1: (1, {"agency": 0.2, "dmtm": 0.3}), 2: (2, {}), 3: (None, dict.fromkeys(ROLES, 9.0))}
+    plan = F.create_map(*[F.lit(x) for i, (plan, _) in own.items() if plan for x in (i, plan)])
+    static = spark.range(4).select(
+        plan[F.col("id").cast("int")].alias("plan_code"),
+        *[F.coalesce(*[F.when(F.col("id") == i, F.lit(held.get(r))) for i, (_, held) in own.items()]).cast("double").alias(f"nbv_margin_{r}") for r in ROLES],
+    )
+    days = spark.range(3).select(F.expr("if(id < 2, 2, 3)").alias("plan_code"), F.expr("explode(array('2001 Q1', '2001 Q2'))").alias("effective_qtr"))
+    dated = days.select("*", *[F.lit(float(i)).alias(f"nbv_margin_{r}") for i, r in enumerate(ROLES)])
+    rows = [(1, "2001 Q1", None, "01", 0), (1, "2001 Q1", None, "05", 1), (2, "2001 Q2", None, "05", 2), (2, "2001 Q3", None, "05", 3),
+            (None, "2001 Q1", None, "05", 4), (2, "2001 Q1", None, "09", 5), (3, "2001 Q1", "TCB1", "05", 6), (3, None, "TCB1", "05", 7)]
+    df = spark.createDataFrame(rows, "plan_code int, effective_qtr string, loc_cd string, dist_chnl_cd string, id int")
+    got = K.with_margin(df, static, dated, K.margin_rules())
+    assert broadcasts(got) == 0
+    found = sorted((r["id"], None if r["nbv_margin"] is None else round(r["nbv_margin"], 4)) for r in got.collect())
+    assert found == [(0, 0.1), (0, 0.2), (1, 0.3), (2, 1.0), (2, 1.0), (3, None), (4, None), (5, -1.3404), (6, 6.0), (7, None)]
