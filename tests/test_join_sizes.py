@@ -1,9 +1,16 @@
 """Sides of joins that hold far more rows than the size of their files tells: they are not sent through the driver."""
 
+import re
+
+import pytest
 from pyspark.sql import functions as F
 
 from tierline.operators import joins as J
+from tierline.plans import activation as X
+from tierline.plans import agents as S
+from tierline.plans import cluster as C
 from tierline.plans import customers as K
+from tierline.sources.views import Tables
 
 
 def broadcasts(df):
@@ -45,3 +52,65 @@ def test_margins_of_unfolded_quarters_are_merged(spark):
     assert broadcasts(got) == 0
     found = sorted((r["id"], None if r["nbv_margin"] is None else round(r["nbv_margin"], 4)) for r in got.collect())
     assert found == [(0, 0.1), (0, 0.2), (1, 0.3), (2, 1.0), (2, 1.0), (3, None), (4, None), (5, -1.3404), (6, 6.0), (7, None)]
+
+
+SNAP = "2001-06-30"
+#: Base tables of a few rows: orders 0 to 39 have one to three lines each.
+ROWS = {
+    "region": (2, "cast(id as int) r_regionkey, concat('R', id) r_name"),
+    "nation": (5, "cast(id as int) n_nationkey, concat('N', id) n_name, cast(id % 2 as int) n_regionkey"),
+    "customer": (12, "id c_custkey, concat('C', id) c_name, cast(id % 5 as int) c_nationkey, id * 10.0d c_acctbal, 'FAMILY' c_mktsegment"),
+    "supplier": (12, "id s_suppkey, concat('S', id) s_name, cast(id % 5 as int) s_nationkey, id * 1.0d s_acctbal"),
+    "part": (9, "id p_partkey, concat('P', id) p_name, 'B' p_brand, 'Term Life' p_type, cast(id * 6 as int) p_size, 900.0d p_retailprice"),
+    "orders": (40, """id o_orderkey, id % 12 o_custkey, if(id % 4 = 3, 'F', 'O') o_orderstatus, id * 100.0d o_totalprice,
+                   timestamp_ntz '2001-06-01' - make_dt_interval(cast(id * 20 as int)) o_orderdate, '1-URGENT' o_orderpriority"""),
+    "lineitem": (90, """id % 40 l_orderkey, id % 9 l_partkey, id % 12 l_suppkey, cast(1 + id / 40 as int) l_linenumber, 5.0d l_quantity, id * 1000.0d l_extendedprice,
+                     0.05d l_discount, 0.02d l_tax, if(id % 3 = 0, 'A', 'N') l_returnflag, 'O' l_linestatus, timestamp_ntz '2001-06-01' - make_dt_interval(cast(id % 40 * 20 as int)) l_shipdate"""),
+}
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    path = tmp_path_factory.mktemp("few")
+    for name, (n, columns) in ROWS.items():
+        spark.sql(f"select {columns} from range({n})").write.parquet(f"{path}/{name}.parquet")
+    return Tables(spark, str(path))
+
+
+def sent_by(df):
+    """First keys of the joins that send a side to every task."""
+    return set(re.findall(r"BroadcastHashJoin \[(\w+)#", df._jdf.queryExecution().sparkPlan().toString()))
+
+
+def values(t):
+    return K.policy_level(K.coverage_value(t, SNAP, F.lit(23.0)))
+
+
+def owners(t):
+    return t["client"].select(F.col("cli_num").alias("po_num"))
+
+
+# Agents alone are sent: sides with a row per policy, owner or plan are merged, though all of these files are small.
+AGENTS = {"agt_code", "wa_cd_1", "wa_code", "sa_code", "_wa", "_sa"}
+PLANS = {
+    "coverage_fact": lambda t: S.coverage_fact(t, SNAP),
+    "recent_sellers": lambda t: S.recent_sellers(t, SNAP),
+    "coverage_value": lambda t: K.coverage_value(t, SNAP, F.lit(23.0)),
+    "policy_ltv": lambda t: K.policy_ltv(t, SNAP, F.lit(23.0)),
+    "first_second_product": K.first_second_product,
+    "agent_assignment": K.agent_assignment,
+    "owner_is_agent": K.owner_is_agent,
+    "recent_sales": lambda t: K.recent_sales(t, SNAP, 60),
+    "owner_payments": lambda t: K.owner_payments(t, F.lit(23.0)),
+    "product_types": lambda t: K.product_types(t, SNAP),
+    "serving_agents": lambda t: X.serving_agents(t, owners(t)),
+    "agent_customers": lambda t: X.agent_customers(t, K.vip_segment(values(t))),
+    "cluster_profiles": lambda t: C.cluster_profiles(
+        owners(t).selectExpr("po_num", *[f"1.0d as {m[2]}" for m in C.CLUSTER_MEASURES[1:]]), owners(t).withColumn("clusters", F.lit(0))
+    ),
+}
+
+
+@pytest.mark.parametrize("name", PLANS)
+def test_sides_that_grow_are_merged(tables, name):
+    assert sent_by(PLANS[name](tables)) <= AGENTS
