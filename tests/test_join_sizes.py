@@ -114,3 +114,26 @@ PLANS = {
 @pytest.mark.parametrize("name", PLANS)
 def test_sides_that_grow_are_merged(tables, name):
     assert sent_by(PLANS[name](tables)) <= AGENTS
+
+
+EVENTS = "id event_id, timestamp_ntz '2001-01-01' + make_dt_interval(cast(id as int)) ts, id % 12 user_id, concat('T', id % 3) event_type, 1.0d value, '' props"
+
+
+def test_no_plan_holds_all_sides_of_the_owners(spark, tables, monkeypatch):
+    """Joins in one plan of client_level: the sides join in groups, and what is written between gives the same rows."""
+    spark.sql(f"select {EVENTS} from range(80)").write.parquet(f"{tables.sf_dir}/events.parquet")
+    plans = []
+    write = K.stage
+
+    def counted(df, label="stage"):
+        plans.append(df)
+        return write(df, label)
+
+    monkeypatch.setattr(K, "stage", counted)
+    cut = K.client_level(tables, SNAP, SNAP, F.lit(23.0))
+    whole = K.client_level(tables, SNAP, SNAP, F.lit(23.0), cut=False)
+    joined = [len(re.findall(r"(?:SortMerge|Hash)Join ", df._jdf.queryExecution().sparkPlan().toString())) for df in (*plans, cut, whole)]
+    assert max(joined[:-1]) <= 16 < joined[-1]
+    assert cut.columns == whole.columns
+    rows = sorted(map(str, cut.collect()))
+    assert rows and rows == sorted(map(str, whole.collect()))
