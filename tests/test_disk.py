@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_join_sizes import ROWS, SNAP
 
+from tierline.plans import agents as S
 from tierline.plans import customers as K
 from tierline.sources import sink
 from tierline.sources.views import Tables
@@ -84,6 +85,11 @@ def test_wide_rows_are_not_sent_from_key_to_key(tables):
     assert exchanges(K.policy_level(K.coverage_value(tables, SNAP, F.lit(23.0)))) in (["pol_num", "_pol"], ["_pol", "pol_num"])
 
 
+def test_the_fact_is_sent_by_policy_and_insured_only(tables):
+    keys = exchanges(S.coverage_fact(tables, SNAP))
+    assert sorted(keys) == ["cli_num", "cli_num", "pol_num", "pol_num"]
+
+
 def test_facts_are_read_where_they_lie(tables):
     assert [n for n in ("coverage", "claim", "policy") if exchanges(tables[n])] == []
     assert len(exchanges(tables["policy_agent"])) == 1
